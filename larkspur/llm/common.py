@@ -57,6 +57,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Bounds what one Arrow batch hands to a Python worker, in rows and bytes: texts may be long. Lower settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        value = int(now) if now and str(now).isdigit() else 0
+        if not 0 < value <= most:
+            spark.conf.set(key, str(most))
+
+
 def hash_bits(*cols: Column) -> Column:
     """A non-negative long."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
@@ -70,7 +79,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], rows: int, rank: s
     bucket totals are summed up per key and joined back on (key, bucket), whose partitioning the last window reuses.
     Keys must not be null. `df` is read twice: pass a materialised table. Rows alike in all of `order` are interchangeable.
     """
-    buckets = max(1, math.ceil(rows / per_bucket))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(rows, max(tasks, math.ceil(rows / per_bucket))))
     dealt = df.withColumn("_h", hash_bits(*[F.col(c) for c in order])).withColumn("_b", F.col("_h") % F.lit(buckets))
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
