@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL, by name."""
 
-from larkspur.llm import merkle, mixing, packing, secrets, sharding, simhash
+from larkspur.llm import merkle, mixing, ngram, packing, secrets, sharding, simhash
 
-_MODULES = (mixing, simhash, secrets, merkle, sharding, packing)
+_MODULES = (mixing, simhash, secrets, merkle, sharding, packing, ngram)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
