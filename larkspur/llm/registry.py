@@ -1,7 +1,7 @@
 """All queries of this subpackage with their SQL, by name."""
 
-from larkspur.llm import hnsw, merkle, mixing, ngram, packing, quality, secrets, sharding, simhash
+from larkspur.llm import hnsw, licenses, merkle, mixing, ngram, packing, quality, secrets, sharding, simhash
 
-_MODULES = (mixing, simhash, secrets, merkle, sharding, packing, ngram, hnsw, quality)
+_MODULES = (mixing, simhash, secrets, merkle, sharding, packing, ngram, hnsw, quality, licenses)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
