@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import WORD, materialise, read_table, running
@@ -103,17 +103,20 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mixture itself: the columns of `docs`, a row for each draw; the text of a cut document ends with the last word taken.
 
-    `n_chars` (if there) is set to the new length. Rows are matched by doc_id and the text's hash, equal ones once.
+    `n_chars` (if there) is set to the length of a cut text. Rows meet their draws by doc_id and the text's hash; where
+    several rows are alike in both, each gives its share of their draws.
     """
-    drawn = mix(docs, **params).groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("draws")).alias("_draws"), F.count(F.lit(1)).alias("_copies"))
-    # Copies of a row are drawn together: each of them then gives the draws that are its share, in order.
-    rows = docs.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"])
-    hit = rows.join(drawn.withColumnsRenamed({"doc_id": "_id", "tie": "_t"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
-    out = hit.withColumn("_draw", F.explode("_draws"))
-    cut = F.when(F.col("_draw.words") < F.regexp_count("text", F.lit(WORD)), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", cut)
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("_id")
+    drawn = mix(docs, **params).select(key("doc_id"), F.col("tie").alias("_tie"), "draws")
+    drawn = drawn.groupBy("_id", "_tie").agg(F.flatten(F.collect_list("draws")).alias("_draws"), F.count(F.lit(1)).alias("_alike"))
+    hit = docs.select("*", key("doc_id"), F.xxhash64("text").alias("_tie")).join(drawn.filter(F.size("_draws") > 0), ["_id", "_tie"])
+    hit = hit.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie")))
+    out = hit.select("*", F.posexplode("_draws").alias("_at", "_draw")).filter(F.col("_at") % F.col("_alike") + 1 == F.col("_nth"))
+    cut = F.col("_draw.words") < F.regexp_count("text", F.lit(WORD))
+    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
+    out = out.withColumn("_cut", cut).withColumn("text", F.when(F.col("_cut"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -20,10 +20,10 @@ def _code(name: str) -> Column:
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
-    """size and the metadata dimensions (doubles) of each row: length, source, language; nulls come first in each."""
+    """size, the metadata dimensions (doubles: length, source, language; nulls come first in each) and node 0 of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD
-    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.log2(size.cast("double")).alias("x0"), _code("source").alias("x1"), _code("lang").alias("x2"), hash_bits(text).alias("same"), hash_bits(F.col("doc_id"), F.lit("tie"), F.col("source")).alias("tie"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.log2(size.cast("double")).alias("x0"), _code("source").alias("x1"), _code("lang").alias("x2"), hash_bits(text).alias("same"), hash_bits(F.col("doc_id"), F.lit("tie"), F.col("source")).alias("tie"), F.lit(0).alias("node"))
 
 
 DIMENSIONS = ("x0", "x1", "x2")
@@ -46,7 +46,7 @@ def _with_bins(at: DataFrame, splits: list[dict]) -> DataFrame:
 
 
 def split_tree(points: DataFrame, leaves: int) -> DataFrame:
-    """`points` with shard, the leaf that each row comes to.
+    """`points` (whose node is 0, the root) with shard, the leaf that each row comes to.
 
     A node that has to give k leaves sends k // 2 / k of its bytes to the left along its widest dimension, whose spread
     is the weighted standard deviation over that of the whole table. The median's place is found by three histograms of
@@ -54,7 +54,7 @@ def split_tree(points: DataFrame, leaves: int) -> DataFrame:
     and, in that bin, of the row's own hash. Driver: nodes and their bins only, whatever the number of rows.
     """
     frontier, base, next_id = [(0, 0, leaves)], None, 1  # node, first leaf, leaves
-    at = points.withColumn("node", F.lit(0))
+    at = points
     while any(n > 1 for _, _, n in frontier):
         stats = [F.sum("size").alias("w")]
         for i, x in enumerate(DIMENSIONS):
@@ -80,7 +80,7 @@ def split_tree(points: DataFrame, leaves: int) -> DataFrame:
                 s[f"cut{depth}"], s["done"] = _median(sorted(sums[s["node"]]), s["want"], s["done"], depth == 2)
         left = F.expr("bin0 < cut0 or (bin0 = cut0 and (bin1 < cut1 or (bin1 = cut1 and bin2 < cut2)))")
         node = F.when(F.col("dim").isNull(), F.col("node")).when(left, F.col("left")).otherwise(F.col("right"))
-        at = _with_bins(at, splits).withColumn("node", node).select(*points.columns, "node")
+        at = _with_bins(at, splits).withColumn("node", node).select(*points.columns)
         frontier = after
     leaf = points.sparkSession.createDataFrame([(node, first) for node, first, _ in frontier], "node int, shard int")
     return at.join(F.broadcast(leaf), "node").drop("node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialise, read_table, small_batches
@@ -117,9 +117,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component (rows without doc_id stay)."""
+    """The row of `docs` whose doc_id is the smallest of its component; of rows alike in doc_id and text one stays.
+
+    Rows without doc_id stay.
+    """
     kept = near_duplicates(docs, **params).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_tie", F.xxhash64("text"))
+    once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("_tie"))).filter("_nth = 1")
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
