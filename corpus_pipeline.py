@@ -1,15 +1,22 @@
-"""A training corpus from raw documents: five stages, each reading what the one before kept."""
+"""A training corpus from raw documents: five stages, each working on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm.common import materialise
+from larkspur.llm.common import materialise, read_table
 from larkspur.llm.mixing import mixed_documents
+from larkspur.llm.packing import packed, tokenizer_path
+from larkspur.llm.quality import keep_good
 from larkspur.llm.secrets import redact
 from larkspur.llm.simhash import one_of_each
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the nearest labelled documents vote below 0.3."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates."""
     return one_of_each(docs)
@@ -25,12 +32,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
-STAGES = [("near-duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what was drawn into sequences: a row for each piece, with its ids."""
+    return packed(docs, tokenizer_path(), ids=True)
+
+
+STAGES = [("quality", quality), ("near-duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+#: No stage but the last steps of mixing could be said in SQL; tests hold the whole against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
