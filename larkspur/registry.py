@@ -1,5 +1,7 @@
 """Every query for the library's own operators, with the SQL that gives the same rows."""
 
+from larkspur.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "eval_summary"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
