@@ -57,6 +57,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `_row`, all other columns in one struct, so that no name of theirs meets one of ours."""
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The boxed columns again, in their old order, with some of them changed."""
+    return rows.select(*[(changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`"))).alias(c) for c in columns])
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
     """Bounds what one Arrow batch hands to a Python worker, in rows and bytes: texts may be long. Lower settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):

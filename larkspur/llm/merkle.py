@@ -105,5 +105,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
+def _sql() -> str:
+    """The same trees; leaves are compared as texts, not by hash (no look-behind there: sentence ends are marked first)."""
+    root_of = lambda c: rf"sha256(list_aggregate(list_transform(regexp_split_to_array({c}, '{SECTION}'), lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), 'string_agg', ''))), 'string_agg', ''))"
+    leaves_of = lambda c: rf"list_distinct(string_split(replace(regexp_replace({c}, '([.!?])[ \t]+', '\1' || chr(2), 'g'), chr(10), chr(2)), chr(2)))"
+    weight = lambda c: f"coalesce(list_sum(list_transform({c}, lambda q: least(len(q), {(1 << _WEIGHT_BITS) - 1}))), 0)"
+    near = lambda a, b: f"CASE WHEN {weight(a)} + {weight(b)} > 0 THEN 2.0::DOUBLE * {weight(f'list_intersect({a}, {b})')} / ({weight(a)} + {weight(b)}) ELSE CAST(len(list_intersect({a}, {b})) > 0 AS INT)::DOUBLE END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text)) AS nxt FROM d),
+e AS (SELECT *, left(text, len(text) - len(text) // 2) || left(nxt, len(text) // 2) AS edited FROM n),
+l AS (SELECT *, {leaves_of("text")} AS own, {leaves_of("edited")} AS new, {leaves_of("nxt")} AS other FROM e)
+SELECT doc_id, len(text) AS n_chars, sha256(edited) AS edited_sha256, {root_of("text")} AS fingerprint, {root_of("edited")} AS edited_fingerprint, {near("own", "new")} AS near_edited, {near("own", "other")} AS near_next FROM l"""
+
+
 QUERIES = {"op6_fingerprints": op6_fingerprints}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_fingerprints": _sql()}

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, materialise, read_table, running
+from larkspur.llm.common import WORD, boxed, materialise, read_table, running, unboxed
 
 #: Plans of more sources than this are joined by shuffle instead of broadcast.
 BROADCAST_SOURCES = 10_000
@@ -109,15 +109,14 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("_id")
     drawn = mix(docs, **params).select(key("doc_id"), F.col("tie").alias("_tie"), "draws")
     drawn = drawn.groupBy("_id", "_tie").agg(F.flatten(F.collect_list("draws")).alias("_draws"), F.count(F.lit(1)).alias("_alike"))
-    hit = docs.select("*", key("doc_id"), F.xxhash64("text").alias("_tie")).join(drawn.filter(F.size("_draws") > 0), ["_id", "_tie"])
+    hit = boxed(docs).select("*", key("doc_id"), F.xxhash64("text").alias("_tie")).join(drawn.filter(F.size("_draws") > 0), ["_id", "_tie"])
     hit = hit.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_tie")))
     out = hit.select("*", F.posexplode("_draws").alias("_at", "_draw")).filter(F.col("_at") % F.col("_alike") + 1 == F.col("_nth"))
-    cut = F.col("_draw.words") < F.regexp_count("text", F.lit(WORD))
     short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_draw.words").cast("int")), " ")
-    out = out.withColumn("_cut", cut).withColumn("text", F.when(F.col("_cut"), short).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.withColumn("_cut", F.col("_draw.words") < F.regexp_count("text", F.lit(WORD)))
+    out = out.withColumn("text", F.when(F.col("_cut"), short).otherwise(F.col("text")))
+    changed = {"n_chars": F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {}
+    return unboxed(out, docs.columns, **changed)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import hash_bits, read_table, small_batches
+from larkspur.llm.common import boxed, hash_bits, read_table, small_batches, unboxed
 
 #: Hashed byte trigrams, then three terms of repetition.
 TERMS, EXTRA = 4096, 3
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, **params) -> Vot
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:
-    """All columns of `docs` and _score: each whole text against all voters, in blocks; null texts are empty."""
+    """All columns of `docs` (boxed or not) and _score: each whole text against all voters, in blocks; null texts are empty."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(voters)
@@ -120,7 +120,7 @@ def score(docs: DataFrame, voters: Voters) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, **params) -> DataFrame:
     """The rows of `docs` that score `least` or more."""
-    return score(docs, fit(docs, labels, **params)).filter(F.col("_score") >= least).drop("_score")
+    return unboxed(score(boxed(docs), fit(docs, labels, **params)).filter(F.col("_score") >= least), docs.columns)
 
 
 def held_out(doc_id: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table
+from larkspur.llm.common import boxed, read_table, unboxed
 
 #: kind, pattern, the group whose length counts, its least length; in the order in which kinds are listed.
 RULES = (
@@ -60,13 +60,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
 
 
 def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
-    """`docs` with blob and spans from the ledger: all paths of a blob get its findings; rows are never dropped.
+    """doc_id, text (and _row of boxed tables), blob and spans from the ledger: all paths of a blob get its findings.
 
-    Only blobs with findings are looked up; the hash of the blob's commonest holder may be any share of the rows, which
+    Rows are never dropped. Only blobs with findings are looked up; the hash of the blob's commonest holder may be any share of the rows, which
     a plain equality join leaves to the adaptive skew split.
     """
     hits = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return blob_ids(docs).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    paths = docs.select(*[c for c in ("doc_id", "text", "_row") if c in docs.columns])
+    return blob_ids(paths).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
 def joined(spans: Column) -> Column:
@@ -75,8 +76,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """`docs` with every span of every text replaced by `mark`; overlapping spans are one. n_chars (if there) follows."""
-    plain = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c != "text"})
-    found = findings(plain, scan(plain))
+    rows = boxed(docs)
+    found = findings(rows, scan(rows))
     text = F.col("text")
 
     def cut(acc, s):
@@ -86,10 +87,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
-    out = out.withColumnsRenamed({f"in_{c}": c for c in docs.columns if c != "text"})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    changed = {"n_chars": F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {}
+    return unboxed(out, docs.columns, **changed)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +98,20 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _sql() -> str:
+    """Places of matches from the pieces between them: piece i ends where match i starts."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for order, (kind, pattern, group, least) in enumerate(RULES):
+        r = quote(pattern)
+        parts.append(f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, spot, spot + len(m) AS upto FROM (
+  SELECT doc_id, m[i] AS m, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS spot
+  FROM (SELECT doc_id, regexp_extract_all(text, {r}) AS m, regexp_split_to_array(text, {r}) AS p FROM d), unnest(range(1, len(m) + 1)) AS u(i)) WHERE len(regexp_extract(m, {r}, {group})) >= {least}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || spot || ':' || upto, ',' ORDER BY spot, o) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
 QUERIES = {"op5_secrets": op5_secrets}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_secrets": _sql()}

@@ -14,9 +14,9 @@ OVERHEAD = 16
 
 
 def _code(name: str) -> Column:
-    """A word as a number that sorts as its first eight bytes do (UTF-8), 0 for null."""
+    """A word as a number from 0 to 1 that sorts as its first seven bytes do (UTF-8), 0 for null."""
     raw = F.rpad(F.hex(F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(raw, 16, 10).cast("double")
+    return F.conv(raw, 16, 10).cast("double") / float(1 << 56)
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def split_tree(points: DataFrame, leaves: int) -> DataFrame:
         for node, first, n in (f for f in frontier if f[2] > 1):
             r, k = found.get(node), n // 2
             if r:
-                dim = max(range(len(DIMENSIONS)), key=lambda i: (spread(r, i) / base[i], -i))
+                dim = max(range(len(DIMENSIONS)), key=lambda i: (round(spread(r, i) / base[i], 5), -i))  # sums of doubles differ by order
                 splits.append({"node": node, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "want": r["w"] * k / n, "done": 0, "cut0": 0, "cut1": 0, "cut2": 0, "left": next_id, "right": next_id + 1})
             after += [(next_id, first, k), (next_id + 1, first + k, n - k)]
             next_id += 2
