@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, read_table, small_batches
+from larkspur.llm.common import boxed, materialise, read_table, small_batches, unboxed
 
 BITS = 64
 
@@ -65,19 +65,19 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     rows, and keeps a pair only under the first key that the two share, so that it comes out once.
     """
     cuts = segments(distance)
-    keys = [(w, _mask(*cut) & ~_mask(w, 1)) for cut in cuts for w in range(cut[0], sum(cut))]
-    variants = F.array(*[F.struct(F.lit(w).cast("byte").alias("wild"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for w, m in keys])
-    index = fps.select("fp", F.inline(variants))
-    a, b = (index.withColumnsRenamed({"fp": x, "wild": f"wild_{x}", "rest": f"rest_{x}"}) for x in "ab")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    masks = [_mask(*cut) & ~_mask(w, 1) for cut in cuts for w in range(cut[0], sum(cut))]
+    index = fps.select("fp", F.posexplode(F.lit(masks).cast("array<long>")).alias("wild", "mask")).select("fp", "wild", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    a, b, wild = F.col("l.fp"), F.col("r.fp"), F.col("l.wild")
+    differ = a.bitwiseXOR(b)
     first = F.lit(False)
     for s, (low, width) in enumerate(cuts):
-        here = F.col("wild_a").between(low, low + width - 1) & ((F.col("wild_a") == low) | (differ.bitwiseAND(F.lit(_mask(low, width))) != 0))
+        here = wild.between(low, low + width - 1) & ((wild == low) | (differ.bitwiseAND(F.lit(_mask(low, width))) != 0))
         for earlier in cuts[:s]:
             here = here & (F.bit_count(differ.bitwiseAND(F.lit(_mask(*earlier)))) >= 2)
         first = first | here
-    same_key = (F.col("wild_a") == F.col("wild_b")) & (F.col("rest_a") == F.col("rest_b"))
-    return a.join(b, same_key & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & first).select("a", "b")
+    same_key = (wild == F.col("r.wild")) & (F.col("l.rest") == F.col("r.rest"))
+    # one table under two names, so that both sides read one exchange
+    return index.alias("l").join(index.alias("r"), same_key & (a < b) & (F.bit_count(differ) <= distance) & first).select(a.alias("a"), b.alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -122,9 +122,10 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     Rows without doc_id stay.
     """
     kept = near_duplicates(docs, **params).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_tie", F.xxhash64("text"))
-    once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("_tie"))).filter("_nth = 1")
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = boxed(docs)
+    one = rows.join(kept, "doc_id", "left_semi").withColumn("_tie", F.xxhash64("text"))
+    once = one.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("_tie"))).filter("_nth = 1")
+    return unboxed(once.select(*rows.columns).unionByName(rows.filter("doc_id is null")), docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
