@@ -17,7 +17,11 @@ def words(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+"))
 
 
 def sample_id(number: Column, turn: Column) -> Column:

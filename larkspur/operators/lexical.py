@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import tokenize, words
+from larkspur.functions.text import token_count, tokenize, words
 
 K1, B = 0.82, 0.68
 
@@ -39,7 +39,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """pid, dl, term, tf; only of `terms` (term), if given: tokens are cut down to them before they are counted."""
-    rows = passages.select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # lengths are counted below the generator, once a passage
+    rows = passages.select("pid", token_count(F.col("text")).alias("dl"), tokenize(F.col("text")).alias("toks")).select("pid", "dl", F.explode("toks").alias("term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -58,9 +59,10 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 1000, k1: float = K
     """
     wanted = query_terms(queries)
     found = postings(passages, wanted.select("term").distinct())
-    size = passages.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = passages.select(token_count(F.col("text")).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n, avgdl = size["n"], size["avgdl"]
+    # said with tf, so that both uses of the counts are one plan and read one exchange
+    df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(df.select("term", idf.alias("idf")), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
