@@ -34,24 +34,29 @@ def _bin(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.least(F.floor((value - low) / (high - low) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
 
 
-SPLIT = "node int, dim int, low double, high double, cut0 int, cut1 int, cut2 int, left int, right int"
+#: Bins of a node's search, one inside the other: the coordinate, three parts of the text's hash, the row's own hash.
+DEPTHS = 5
+SPLIT = "node int, dim int, low double, high double, " + ", ".join(f"cut{i} int" for i in range(DEPTHS)) + ", left int, right int"
 
 
 def _with_bins(at: DataFrame, splits: list[dict]) -> DataFrame:
     """Rows of the nodes to split, with their splits (a table of one row a node, at most as many as shards) and three bins."""
     table = at.sparkSession.createDataFrame([tuple(s[c.split()[0]] for c in SPLIT.split(", ")) for s in splits], SPLIT)
     value = F.when(F.col("dim") == 0, F.col("x0")).when(F.col("dim") == 1, F.col("x1")).otherwise(F.col("x2"))
-    high_bits = lambda name: F.shiftright(F.col(name), 63 - int(math.log2(BINS))).cast("int")
-    return at.join(F.broadcast(table), "node", "left").withColumns({"bin0": _bin(value, F.col("low"), F.col("high")), "bin1": high_bits("same"), "bin2": high_bits("tie")})
+    width = int(math.log2(BINS))
+    part = lambda name, i: F.shiftright(F.col(name), 63 - width * (i + 1)).bitwiseAND(F.lit(BINS - 1)).cast("int")
+    hashed = {f"bin{1 + i}": part("same", i) for i in range(DEPTHS - 2)} | {f"bin{DEPTHS - 1}": part("tie", 0)}
+    return at.join(F.broadcast(table), "node", "left").withColumns({"bin0": _bin(value, F.col("low"), F.col("high"))} | hashed)
 
 
-def split_tree(points: DataFrame, leaves: int) -> DataFrame:
+def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame:
     """`points` (whose node is 0, the root) with shard, the leaf that each row comes to.
 
     A node that has to give k leaves sends k // 2 / k of its bytes to the left along its widest dimension, whose spread
-    is the weighted standard deviation over that of the whole table. The median's place is found by three histograms of
-    BINS bins: of the coordinate, then, in the bin that holds the median, of the text's hash (equal texts stay together)
-    and, in that bin, of the row's own hash. Driver: nodes and their bins only, whatever the number of rows.
+    is the weighted standard deviation over that of the whole table. The median's place is found by histograms of BINS
+    bins, each inside the bin of the one before that holds the median: of the coordinate, then of 36 bits of the text's
+    hash, so that equal texts are a unit. That unit goes to the nearer side as a whole; only if it weighs more than
+    `whole` of a leaf, a last histogram, of the rows' own hashes, splits it. Driver: nodes and bins, whatever the rows.
     """
     frontier, base, next_id = [(0, 0, leaves)], None, 1  # node, first leaf, leaves
     at = points
@@ -68,42 +73,55 @@ def split_tree(points: DataFrame, leaves: int) -> DataFrame:
             r, k = found.get(node), n // 2
             if r:
                 dim = max(range(len(DIMENSIONS)), key=lambda i: (round(spread(r, i) / base[i], 5), -i))  # sums of doubles differ by order
-                splits.append({"node": node, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "want": r["w"] * k / n, "done": 0, "cut0": 0, "cut1": 0, "cut2": 0, "left": next_id, "right": next_id + 1})
+                splits.append({"node": node, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "want": r["w"] * k / n, "leaf": r["w"] / n, "done": 0, "left": next_id, "right": next_id + 1} | {f"cut{i}": 0 for i in range(DEPTHS)})
             after += [(next_id, first, k), (next_id + 1, first + k, n - k)]
             next_id += 2
-        for depth in range(3):
-            rows = _with_bins(at, splits).filter(" and ".join(["dim is not null", *(f"bin{i} = cut{i}" for i in range(depth))]))
+        searched = splits
+        for depth in range(DEPTHS):
+            rows = _with_bins(at, searched).filter(" and ".join(["dim is not null", *(f"bin{i} = cut{i}" for i in range(depth))])) if searched else None
             sums: dict[int, list] = {}
-            for r in rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w")).collect():
+            for r in rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w")).collect() if searched else []:
                 sums.setdefault(r["node"], []).append((r["bin"], r["w"]))
-            for s in splits:
-                s[f"cut{depth}"], s["done"] = _median(sorted(sums[s["node"]]), s["want"], s["done"], depth == 2)
-        left = F.expr("bin0 < cut0 or (bin0 = cut0 and (bin1 < cut1 or (bin1 = cut1 and bin2 < cut2)))")
+            split_further = []
+            for s in searched:
+                cut, s["done"], weight = _median(sorted(sums[s["node"]]), s["want"], s["done"])
+                last = depth == DEPTHS - 1 or depth == DEPTHS - 2 and weight <= whole * s["leaf"]
+                s[f"cut{depth}"] = cut + (last and s["done"] + weight - s["want"] < s["want"] - s["done"])
+                split_further += [] if last else [s]
+            searched = split_further
+        left = F.lit(False)
+        for i in reversed(range(DEPTHS)):
+            left = (F.col(f"bin{i}") < F.col(f"cut{i}")) | ((F.col(f"bin{i}") == F.col(f"cut{i}")) & left)
         node = F.when(F.col("dim").isNull(), F.col("node")).when(left, F.col("left")).otherwise(F.col("right"))
-        at = _with_bins(at, splits).withColumn("node", node).select(*points.columns)
+        # written level by level: every level's plans are then alike, and short
+        at = materialise(_with_bins(at, splits).withColumn("node", node).select(*points.columns), "nodes")
         frontier = after
     leaf = points.sparkSession.createDataFrame([(node, first) for node, first, _ in frontier], "node int, shard int")
     return at.join(F.broadcast(leaf), "node").drop("node")
 
 
-def _median(bins: list[tuple[int, int]], want: float, done: float, last: bool) -> tuple[int, float]:
-    """The bin in which the weight reaches `want`, and what lies before it; at the last depth that bin goes to the nearer side."""
+def _median(bins: list[tuple[int, int]], want: float, done: float) -> tuple[int, float, int]:
+    """The bin in which the weight reaches `want`, what lies before it, and its weight."""
     for b, w in bins:
         if done + w >= want:
-            return (b + 1, done + w) if last and done + w - want < want - done else (b, done)
+            return b, done, w
         done += w
-    return bins[-1][0] + 1, done
+    return bins[-1][0] + 1, done, 0
 
 
 def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of `docs` (doc_id, text, source, lang).
 
     Give the number of shards, or the bytes that a shard should have. Size: UTF-8 bytes of the text (null: none) plus 16.
-    Shards get near equal bytes; rows alike in metadata and text stay together unless a cut falls among them. Slots are
-    gapless from 0 in each shard, in a fixed pseudo-random order. Null metadata sort first. An empty table gives no rows.
+    Shards get near equal bytes. Equal texts share their coordinates (the least of each among them), so they stay together
+    but for those that outweigh a share of a shard, where a cut falls among them. Slots are gapless from 0 in each shard,
+    in a fixed pseudo-random order. Null metadata sort first. An empty table gives no rows.
     """
-    points = materialise(coordinates(docs), "points")
-    rows, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    own = materialise(coordinates(docs), "own")
+    rows, total, *ends = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), *[f(x) for x in DIMENSIONS for f in (F.min, F.max)]).first()
+    scaled = lambda x, low, high: (F.min(x) - F.lit(low)) / F.lit((high - low) or 1.0)
+    alike = own.groupBy("same").agg(*[scaled(x, ends[2 * i] or 0.0, ends[2 * i + 1] or 0.0).alias(x) for i, x in enumerate(DIMENSIONS)])
+    points = materialise(own.drop(*DIMENSIONS).join(alike, "same"), "points")
     shards = shards or max(1, math.ceil(total / target_bytes))
     placed = materialise(split_tree(points, shards).select("doc_id", "size", "text_crc32", "shard", "same", "tie"), "placed")
     return running(placed, ["shard"], ["same", "doc_id", "tie"], rows, "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
