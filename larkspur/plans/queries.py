@@ -68,7 +68,7 @@ def qrels_binarize(spark, d):
 @query("run_scan", f"WITH {S.RUN} SELECT qid, pid, round(score, 6) AS score FROM r")
 def run_scan(spark, d):
     lines = I.run_lines(spark, d)
-    seven = lines.select("line_no", F.regexp_replace("value", r"^(\S+ \S+ \S+ \S+ \S+) x bm25$", "$1 ance").alias("value"))
+    seven = lines.select("line_no", F.regexp_replace("value", r"^(\S+ \S+ \S+ \S+ \S+) x bm25$", "$1 dense").alias("value"))
     return readers.run(seven).select("qid", "pid", F.round("score", 6).alias("score"))
 
 

@@ -136,8 +136,8 @@ def test_text_files(spark, tmp_path):
     run = spark.createDataFrame([("1-1", "d1", 1, 2.5), ("1-1", "d2", 2, 1.5)], "qid string, pid string, rank int, score double")
     writers.write_run(run, str(tmp_path / "run"), "bm25", seven=True)
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "run")).collect()) == ["1-1 Q0 d1 1 199 2.5 bm25", "1-1 Q0 d2 2 198 1.5 bm25"]
-    writers.write_run(run, str(tmp_path / "dense"), "ance", underscores=True)
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "dense")).collect())[0] == "1_1 Q0 d1 1 2.5 ance"
+    writers.write_run(run, str(tmp_path / "dense"), "dense", underscores=True)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "dense")).collect())[0] == "1_1 Q0 d1 1 2.5 dense"
     back = readers.run(readers.numbered_lines(spark, str(tmp_path / "dense")))
     assert {(r["pid"], r["score"]) for r in back.collect()} == {("d1", 2.5), ("d2", 1.5)}
 
