@@ -52,30 +52,48 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
+
+
 def _mask(first: int, width: int) -> int:
-    m = ((1 << width) - 1) << first
-    return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
+    return _signed(((1 << width) - 1) << first)
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, pieces: int | None = None) -> DataFrame:
     """a, b (a < b): all pairs of the distinct longs `fp` that differ by 1 to `distance` bits, each once.
 
     Each fingerprint is indexed under one key for each segment and each bit of it taken as wildcard; two that differ by
     at most one bit in a segment share a key. The equality join verifies inside its condition, so candidates are never
     rows, and keeps a pair only under the first key that the two share, so that it comes out once.
+
+    A key has about 20 bits. For more fingerprints than 2^25 (or as told) the bits outside the segment, of which at most
+    `distance` differ, are cut into `pieces` = distance + 1, of which one is equal: each key then comes once a piece and
+    is longer by its bits. The links are the same; the index has `pieces` times the rows, buckets are smaller by far more.
     """
+    if pieces is None:
+        pieces = 1 if fps.count() <= 1 << 25 else distance + 1
     cuts = segments(distance)
-    masks = [_mask(*cut) & ~_mask(w, 1) for cut in cuts for w in range(cut[0], sum(cut))]
-    index = fps.select("fp", F.posexplode(F.lit(masks).cast("array<long>")).alias("wild", "mask")).select("fp", "wild", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
-    a, b, wild = F.col("l.fp"), F.col("r.fp"), F.col("l.wild")
+    outside = []  # of each segment, the masks of the pieces of all other bits
+    for low, width in cuts:
+        bits = [b for b in range(BITS) if not low <= b < low + width]
+        edges = [len(bits) * i // pieces for i in range(pieces + 1)]
+        outside.append([_signed(sum(1 << b for b in bits[i:j])) for i, j in zip(edges, edges[1:])] if pieces > 1 else [0])
+    masks = [_mask(*cut) & ~_mask(w, 1) | more for cut, others in zip(cuts, outside) for w in range(cut[0], sum(cut)) for more in others]
+    index = fps.select("fp", F.posexplode(F.lit(masks).cast("array<long>")).alias("place", "mask")).select("fp", "place", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    a, b = F.col("l.fp"), F.col("r.fp")
+    wild, piece = F.floor(F.col("l.place") / pieces), F.col("l.place") % pieces
     differ = a.bitwiseXOR(b)
+    unlike = lambda mask: differ.bitwiseAND(F.lit(mask)) != 0
     first = F.lit(False)
     for s, (low, width) in enumerate(cuts):
-        here = wild.between(low, low + width - 1) & ((wild == low) | (differ.bitwiseAND(F.lit(_mask(low, width))) != 0))
+        here = wild.between(low, low + width - 1) & ((wild == low) | unlike(_mask(low, width)))
         for earlier in cuts[:s]:
             here = here & (F.bit_count(differ.bitwiseAND(F.lit(_mask(*earlier)))) >= 2)
+        for p in range(pieces - 1):
+            here = here & ((piece <= p) | unlike(outside[s][p]))
         first = first | here
-    same_key = (wild == F.col("r.wild")) & (F.col("l.rest") == F.col("r.rest"))
+    same_key = (F.col("l.place") == F.col("r.place")) & (F.col("l.rest") == F.col("r.rest"))
     # one table under two names, so that both sides read one exchange
     return index.alias("l").join(index.alias("r"), same_key & (a < b) & (F.bit_count(differ) <= distance) & first).select(a.alias("a"), b.alias("b"))
 

@@ -49,8 +49,8 @@ def test_all_links_at_every_distance(spark):
     values = sorted({*map(int, base), *near, 0, 2**64 - 1})
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    for distance in (1, 3, 4):
-        got = [tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in simhash.links(fps, distance).collect()]
+    for distance, pieces in ((1, None), (3, None), (4, None), (4, 5), (2, 3)):
+        got = [tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in simhash.links(fps, distance, pieces).collect()]
         expected = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin(a ^ b).count("1") <= distance}
         assert len(got) == len(set(got)) and set(got) == expected
 
