@@ -179,12 +179,12 @@ class Plan:
     offset) puts the pieces of that length with ranks from `first` on into those sequences, `times` in each.
     """
 
-    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 96, small: int | None = None):
+    def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 160, small: int | None = None):
         self.capacity, self.entries, self.sequences = capacity, [], 0
         self.used = defaultdict(int)  # ranks given, by length
         self.gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> (first sequence, count)
         self.rooms: list[int] = []
-        small = capacity // 8 if small is None else small
+        small = capacity // 5 if small is None else small
         counts = {k: n for k, n in histogram.items() if n}
         if full := counts.pop(capacity, 0):
             self._put(self._open(full), full, 0, capacity, 1)
@@ -258,10 +258,10 @@ class Plan:
             n -= took * times
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = 96) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = 160) -> DataFrame:
     """`parts` (a materialised table of pieces with doc_id, piece, start, length) with sequence_id and offset.
 
-    Linear grouping: lengths over an eighth of the capacity are cut into `groups` groups of equally many pieces, longest
+    Linear grouping: lengths over a fifth of the capacity are cut into `groups` groups of equally many pieces, longest
     first, and rounded up to the group's longest; the configuration programme over these few sizes says which fillings to
     use how often; actual pieces take the places of rounded ones; then short pieces go, longest first, where they leave
     least room. All this needs the histogram of lengths only, which has at most `capacity` entries whatever the input;
