@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,25 @@ NOTICES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
 )
+_CC_TERMS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+for _terms in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+    _name = "-".join(_CC_TERMS[t] for t in _terms.split("-"))
+    NOTICES += tuple(
+        (f"CC-{_terms}-4.0", notice)
+        for notice in (f"Licensed under CC {_terms} 4.0.", f"This work is licensed under CC {_terms} 4.0.", f"This work is licensed under a Creative Commons {_name} 4.0 International License.", f"SPDX-License-Identifier: CC-{_terms}-4.0")
+    )
+
+
+def _published(license: str) -> tuple[tuple[str, str], ...]:
+    """A long license as published: entire, and without what follows its end of terms (how to apply it)."""
+    text = pkgutil.get_data("larkspur.llm", f"license_texts/{license}.txt").decode().strip()
+    head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    return ((license, text), (license, head + end)) if end else ((license, text),)
+
+
 TEXTS = (
     ("MIT", """MIT License
 
@@ -65,6 +85,19 @@ Redistribution and use in source and binary forms, with or without modification,
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """BSD 3-Clause License
+
+Copyright (c) <year>, <holder>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("Zlib", """zlib License
 
@@ -89,6 +122,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 For more information, please refer to <https://unlicense.org>"""),
 )
+for _license in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0"):
+    TEXTS += _published(_license)
 #: Spellings that mean the same, after lower-casing (fixed values): what is written, what it becomes.
 SPELLINGS = (
     ("licence", "license"),
@@ -106,16 +141,36 @@ _STEPS = (
     (r"(^|\n)[ \t#*/;-]*all rights reserved\.?[ \t]*(\n|$)", r"\1\2"),
 )
 _OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: Spark only, beyond what the SQL folds: dashes become hyphens, other marks and spaces from U+0080 up blanks.
+_DASHES, _MARKS = r"[\x{2010}-\x{2015}\x{2212}\x{FE58}\x{FE63}\x{FF0D}]", r"[\r\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}©]]"
+#: Spark only, for texts with "copyright" or "(c)": a (c) after (b) or of a license's own words stays, copyright lines that
+#: start with a name (they have a year, a place for one, or nothing but capitalised words) go.
+_LINES = (
+    (r"(?i)(^|\n)([ \t#*/;-]*\(b\)[\s\S]{0,20000}?\n[ \t#*/;-]*)\(c\)", "$1$2 c "),
+    (r"(?i)copyright[ \t]+\(c\)[ \t]+year\b", "copyright c year"),
+    (r"(?i)copyright[ \t]+(?:\(c\)|©)([0-9,\s-]+free software foundation)(?=[\s\S]{0,300}?everyone\s+is\s+permitted\s+to\s+copy)", "of copyright c$1"),
+    (
+        r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t]+(?:[\[{]|[^\n]*\b(?:19|20)[0-9]{2}\b)[^\n]*"
+        r"|Copyright[ \t]+(?:by[ \t]+)?(?!(?:Holder|Owner|Licen[sc]e|Notice|Law|Act|Statement|Interest|Protection)s?\b)\p{Lu}[\p{L}\p{M}0-9.'&-]*(?:,?[ \t]+(?:\p{Lu}[\p{L}\p{M}0-9.'&-]*|and|of|the|&))*[,.]?[ \t]*(?=\n|$))",
+        "$1",
+    ),
+)
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, one spelling for equivalent ones, all but letters and digits to single spaces."""
-    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    folded = F.when(text.rlike(_MARKS), F.regexp_replace(F.regexp_replace(text, _DASHES, "-"), _MARKS, " ")).otherwise(text)
+    out = folded
+    for pattern, replacement in _LINES:
+        out = F.regexp_replace(out, pattern, replacement)
+    small = F.lower(text)
+    out = F.lower(F.when(small.contains("copyright") | small.contains("(c)"), out).otherwise(folded))
     for pattern, replacement in _STEPS:
         out = F.regexp_replace(out, pattern, replacement.replace("\\", "$"))
     for written, becomes in SPELLINGS:
         out = F.replace(out, F.lit(written), F.lit(becomes))
-    return F.trim(F.regexp_replace(out, _OTHER, " "))
+    return F.trim(F.regexp_replace(F.replace(out, F.lit("©"), F.lit(" ")), _OTHER, " "))
 
 
 def digest(text: Column) -> Column:

@@ -38,3 +38,36 @@ def test_odd_rows(spark, odd, none):
 def test_known_digests_differ(spark):
     rows = licenses.known(spark).collect()
     assert len(rows) == len({r["digest"] for r in rows}) >= 20
+
+
+def test_noncommercial_notice(spark, documents):
+    expected = {r["doc_id"] for r in documents.collect() if "Licensed under CC BY-NC 4.0." in (r["text"] or "").split("\n")}
+    got = licenses.scan(documents, licenses.known(spark)).filter("array_contains(split(notices, ','), 'CC-BY-NC-4.0')").collect()
+    assert expected and {r["doc_id"] for r in got} == expected
+
+
+def test_full_texts(spark):
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0"} <= {name for name, _ in licenses.TEXTS}
+    apache = next(body for name, body in licenses.TEXTS if name == "Apache-2.0" and "[yyyy]" in body)
+    filled = apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone Else")
+    assert filled != apache and scan(spark, [filled])[0]["license"] == "Apache-2.0"
+
+
+def test_unicode_punctuation(spark):
+    body = dict(licenses.TEXTS)["MIT"]
+    curly = "\ufeff" + body.replace('"AS IS"', "\u201cAS IS\u201d").replace("NONINFRINGEMENT", "NON\u2011INFRINGEMENT").replace("free of charge", "free\u00a0of\u2003charge").replace(", and", " \u2014 and").replace("\n", "\r\n")
+    found = scan(spark, [curly, body.replace("free", "fr\u00e9e")])
+    assert [found[i]["license"] for i in range(2)] == ["MIT", None]
+
+
+def test_copyright_lines_that_start_with_a_name(spark):
+    body = dict(licenses.TEXTS)["MIT"]
+    lines = ["Copyright Jane Doe 2020", "copyright by jane doe, 1999-2020", "Copyright The Project Authors.", "Copyright \u00c9mile Zola and Sons", "Copyright holders keep their rights", "Copyright License is granted"]
+    found = scan(spark, [body.replace("Copyright (c) <year> <holder>", line) for line in lines])
+    assert [found[i]["license"] for i in range(6)] == ["MIT"] * 4 + [None] * 2
+
+
+def test_a_listed_point_is_no_copyright_line(spark):
+    points = "(a) one thing;\n(b) another; and\n(c) the third one"
+    digests = [r["digest"] for r in scan(spark, [points, points.replace("third", "fourth"), points.replace("the third", "the\nthird")]).values()]
+    assert digests[0] != digests[1] and digests[0] == digests[2]
