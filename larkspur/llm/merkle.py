@@ -17,23 +17,26 @@ def digest(part: Column) -> Column:
     return F.sha2(part.cast("binary"), 256)
 
 
-def tree(text: Column) -> Column:
-    """Sections (blank lines between) of paragraphs (lines): array of (digest, paragraphs: array of digests)."""
+def _sections(text: Column, section) -> Column:
+    """`section` of the digests of each section's paragraphs; a separator other than one empty line is one more leaf (it
+    starts with a newline, so no paragraph has its digest): texts that differ in blank lines or indentation differ here."""
+    text = F.coalesce(text, F.lit(""))
 
-    def section(s):
-        leaves = F.transform(F.split(s, PARAGRAPH), digest)
-        return F.struct(digest(F.array_join(leaves, "")).alias("digest"), leaves.alias("paragraphs"))
+    def leaves_of(s, separator):
+        own = F.when(separator != "\n\n", F.array(digest(separator))).otherwise(F.array().cast("array<string>"))
+        return section(F.concat(F.transform(F.split(s, PARAGRAPH), digest), own))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), SECTION), section)
+    return F.zip_with(F.split(text, SECTION), F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)), leaves_of)
 
 
-def root(text: Column) -> Column:
-    """The tree's root: a digest of section digests, which are digests of paragraph digests."""
+def tree(text: Column) -> Column:
+    """Sections (blank lines between) of paragraphs (lines): array of (digest, paragraphs: array of digests)."""
+    return _sections(text, lambda leaves: F.struct(digest(F.array_join(leaves, "")).alias("digest"), leaves.alias("paragraphs")))
 
-    def section(s):
-        return digest(F.array_join(F.transform(F.split(s, PARAGRAPH), digest), ""))
 
-    return digest(F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), SECTION), section), ""))
+def root(text: Column) -> Column:
+    """The tree's root: a digest of section digests, which are digests of paragraph digests."""
+    return digest(F.array_join(_sections(text, lambda leaves: digest(F.array_join(leaves, ""))), ""))
 
 
 def leaves(text: Column) -> Column:

@@ -22,6 +22,13 @@ def test_differences(spark):
     assert diff(a, a) == [] and diff(a, b) == [(0, 1), (0, 2)] and diff(a, c) == [(1, -1), (2, -1)]
 
 
+def test_blank_lines_and_indentation_count(spark):
+    texts = ["a\n\nb", "a\n\n\nb", "a\n\n\n b", "a\n \n\tb", "a\n\n    b", "a\n\nb\n\n", "a\n\nb\n\n\n", "\n\na\n\nb", "a\nb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", merkle.root(F.col("text")).alias("r"), F.size(merkle.differences(merkle.tree(F.lit(texts[0])), merkle.tree(F.col("text")))).alias("n")).collect()
+    assert len({r["r"] for r in rows}) == len(texts)
+    assert [r["n"] > 0 for r in rows] == [r["text"] != texts[0] for r in rows]
+
+
 def test_likeness(spark):
     near = lambda x, y: spark.range(1).select(merkle.likeness(merkle.leaves(F.lit(x)), merkle.leaves(F.lit(y))).alias("n")).first()["n"]
     assert near("abcd\nefgh", "abcd\nefgh") == 1 and near("abcd\nefgh", "abcd\nzzzz") == 0.5 and near("", "") == 1 and near("", "x") == 0
