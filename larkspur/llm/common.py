@@ -83,20 +83,23 @@ def hash_bits(*cols: Column) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], rows: int, rank: str, weight: str | None = None, start: str | None = None, per_bucket: int = 50_000) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], rows: int, rank: str, weight: str | None = None, start: str | None = None, per_bucket: int = 50_000, narrow: DataFrame | None = None) -> DataFrame:
     """Adds `rank`, each row's place (from 0) in its key, and with `weight` also `start`, the weights before it.
 
-    The order is a fixed pseudo-random one: rows go by bucket, a hash of `order`, and inside a bucket by hash and
-    `order`. The number of buckets follows `rows`, so that a key with any share of all rows is dealt over many tasks;
-    bucket totals are summed up per key and joined back on (key, bucket), whose partitioning the last window reuses.
-    Keys must not be null. `df` is read twice: pass a materialised table. Rows alike in all of `order` are interchangeable.
+    The order is a fixed pseudo-random one: by a hash of `order`, then `order`. Rows go by bucket, the hash's leading bits,
+    so that the order is the same for any number of buckets; their number follows `rows`, so that a key with any share of
+    all rows is dealt over many tasks. Bucket totals are summed up per key and joined back on (key, bucket), whose
+    partitioning the last window reuses. Keys must not be null. `df` is read twice: pass a materialised table, or
+    `narrow`, a cheaper table with the same keys, order and weight for the totals. Rows alike in all of `order` are
+    interchangeable.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(rows, max(tasks, math.ceil(rows / per_bucket))))
-    dealt = df.withColumn("_h", hash_bits(*[F.col(c) for c in order])).withColumn("_b", F.col("_h") % F.lit(buckets))
+    bits = math.ceil(math.log2(max(1, min(rows, max(tasks, math.ceil(rows / per_bucket))))))
+    marked = lambda x: x.withColumn("_h", hash_bits(*[F.col(c) for c in order])).withColumn("_b", F.shiftright("_h", 63 - bits))
+    dealt = marked(df)
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*keys, "_b").agg(*sums)
+    totals = (dealt if narrow is None else marked(narrow)).groupBy(*keys, "_b").agg(*sums)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *([F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0")] if weight else []))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h", *order)
     out = dealt.join(offsets, [*keys, "_b"])
