@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,15 +14,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table, scratch_path, small_batches
+from larkspur.llm.common import hash_bits, materialise, read_table, scratch_path, small_batches
 from larkspur.llm.files import map_file, write_file
 
 U8, U4 = np.dtype("<u8"), np.dtype("<u4")
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-#: Tokens that a worker counts before it hands on what it has, and entries that a model shard should have.
-FLUSH, SHARD_ENTRIES = 2_000_000, 2_000_000
-#: A context with this share of the training tokens is split over SALTS shards.
-HOT_SHARE, SALTS = 1 / 1000, 64
+#: Tokens that a worker counts before it hands on what it has, and tokens that a model shard should stand for.
+FLUSH, SHARD_TOKENS = 2_000_000, 1_000_000
+#: A context with this share of the training tokens is split over SALTS shards; one text in LAYOUT_SAMPLE tells which.
+HOT_SHARE, SALTS, LAYOUT_SAMPLE = 1 / 1000, 64, 16
+MOST_TASKS = 10_000
 
 
 def _mix(a: np.ndarray, b) -> np.ndarray:
@@ -31,46 +33,115 @@ def _mix(a: np.ndarray, b) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def tokens(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a batch of texts: hashes of all tokens (words in lower case, then one end a text), of the contexts of 1 to
-    order - 1 tokens before each, and the number of tokens of each text."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string(), safe=False), "")
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = words.flatten().dictionary_encode()
-    kinds = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in kinds), U8, len(kinds))
-    filled = np.fromiter(map(len, kinds), np.int64, len(kinds)) > 0
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    keep = filled[at] if len(kinds) else np.zeros(0, bool)
-    at, owner = at[keep], owner[keep]
-    counts = np.bincount(owner, minlength=len(texts))
-    pad = order - 1
-    begin = np.concatenate([[0], np.cumsum(counts + pad + 1)])[:-1]
-    line = np.full(int((counts + pad + 1).sum()), START, U8)
-    rank = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-    line[begin[owner] + pad + rank] = hashes[at] if len(kinds) else 0
-    line[begin + pad + counts] = END
-    told = np.ones(len(line), bool)
-    for k in range(pad):
-        told[begin + k] = False
-    places = np.flatnonzero(told)
-    contexts, context = [], np.zeros(len(places), U8)
-    for k in range(1, order):
-        context = _mix(context, line[places - k]) if len(places) else context
-        contexts.append(context)
-    return line[places], contexts, counts + 1
-
-
-def _combine(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Equal rows of the first columns become one, with summed counts; the first column and the last tell rows apart."""
-    if not len(sums[0]):
-        return columns, sums
-    order = np.lexsort((columns[-1], columns[0]))
-    columns, sums = [c[order] for c in columns], [s[order] for s in sums]
-    new = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[-1][1:] != columns[-1][:-1])])
-    first = np.flatnonzero(new)
-    return [c[first] for c in columns], [np.add.reduceat(s.astype(np.int64), first) for s in sums]
+@dataclass
+class Tokens:
+    """A batch of texts: hashes by code (0 is the start, 1 the end), codes with order - 1 starts before each text, the
+    places of words and ends among them, and the number of these in each text."""
+
+    hashes: np.ndarray
+    line: np.ndarray
+    places: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, order: int) -> Tokens:
+        texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string(), safe=False), "")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        kinds = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.concatenate([np.array([START, END], U8), np.fromiter((xxhash.xxh64_intdigest(w) for w in kinds), U8, len(kinds))])
+        filled = np.fromiter(map(len, kinds), np.int64, len(kinds)) > 0
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        keep = filled[at] if len(kinds) else np.zeros(0, bool)
+        at, owner = at[keep], owner[keep]
+        counts = np.bincount(owner, minlength=len(texts))
+        pad = order - 1
+        begin = np.concatenate([[0], np.cumsum(counts + pad + 1)])[:-1]
+        line = np.zeros(int((counts + pad + 1).sum()), np.int32)
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        line[begin[owner] + pad + rank] = at + 2
+        line[begin + pad + counts] = 1
+        return cls(hashes, line, np.flatnonzero(line), counts + 1)
+
+
+def _sorted(columns: list[np.ndarray], kinds: int, weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of code columns (codes below `kinds`), in their order, and the sum of weights (or number) of each."""
+    key, size = columns[0].astype(np.int64), kinds
+    for column in columns[1:]:
+        if size * kinds >= 1 << 63:
+            kept, key = np.unique(key, return_inverse=True)
+            size = len(kept)
+        key, size = key * kinds + column, size * kinds
+    order = np.argsort(key, kind="stable" if weights is not None else None)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(first, len(key))) if weights is None else np.add.reduceat(weights[order], first) if len(key) else weights
+    return [c[order[first]] for c in columns], sums
+
+
+def _contexts(hashes: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of the words before the last, from the nearest to the farthest."""
+    out = np.zeros(len(columns[-1]), U8)
+    for c in columns[-2::-1]:
+        out = _mix(out, hashes[c])
+    return out
+
+
+# --- bodies: entries on their way between tasks; arrays of small numbers, larger ones apart ---
+
+
+def _small(values: np.ndarray) -> list[bytes]:
+    """One byte a number, 255 for those apart."""
+    far = np.flatnonzero(values >= 255)
+    return [np.array([len(far)], "<i8").tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes(), far.astype(U4).tobytes(), values[far].astype("<i8").tobytes()]
+
+
+class _Reader:
+    def __init__(self, raw):
+        self.raw, self.at = raw, 0
+
+    def take(self, kind, n: int) -> np.ndarray:
+        kind = np.dtype(kind)
+        out = np.frombuffer(self.raw, kind, n, self.at) if n else np.zeros(0, kind)
+        self.at += n * kind.itemsize
+        return out
+
+    def small(self, n: int) -> np.ndarray:
+        far = int(self.take("<i8", 1)[0])
+        out = self.take(np.uint8, n).astype(np.int64)
+        spots = self.take(U4, far)
+        out[spots] = self.take("<i8", far)
+        return out
+
+
+def _code_type(kinds: int) -> np.dtype:
+    return np.dtype(np.uint8 if kinds <= 1 << 8 else "<u2" if kinds <= 1 << 16 else "<u4")
+
+
+_CODEC = "zstd"
+
+
+def _pack(hashes: np.ndarray, columns: list[np.ndarray], sums: np.ndarray) -> tuple[int, bytes]:
+    """Entries with a dictionary of their own, compressed: (size, bytes)."""
+    kinds, codes = np.unique(np.concatenate(columns), return_inverse=True)
+    codes = codes.astype(_code_type(len(kinds)))
+    raw = b"".join([np.array([len(sums), len(kinds)], "<i8").tobytes(), hashes[kinds].tobytes(), codes.tobytes(), *_small(sums)])
+    return len(raw), pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpack(bodies: list[tuple[int, bytes]], width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """hashes, code columns and sums of several bodies together."""
+    found = []
+    for size, body in bodies:
+        read = _Reader(pa.decompress(body, decompressed_size=size, codec=_CODEC))
+        n, kinds = read.take("<i8", 2).tolist()
+        found.append((read.take(U8, kinds), read.take(_code_type(kinds), n * width).reshape(width, n), read.small(n)))
+    hashes, codes = np.unique(np.concatenate([h for h, _, _ in found]), return_inverse=True)
+    codes = codes.astype(np.int32)
+    edges = np.cumsum([0, *(len(h) for h, _, _ in found)])
+    columns = [np.concatenate([codes[a:][c[i]] for a, (_, c, _) in zip(edges, found)]) for i in range(width)]
+    return hashes, columns, np.concatenate([s for _, _, s in found])
 
 
 @dataclass
@@ -83,7 +154,7 @@ class Layout:
 
     def owner(self, k: int, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The hash that decides the shard of an entry of order k: its context's, salted by the word if that is hot."""
-        if k == 1:
+        if k <= 1:
             return words
         hot = self.hot[k - 2]
         if not len(hot):
@@ -92,120 +163,201 @@ class Layout:
         return np.where(hot[spot] == contexts, _mix(contexts, words >> np.uint64(58)), contexts)
 
     def shard(self, owner: np.ndarray) -> np.ndarray:
-        return (owner >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(owner), np.int64)
+        return (owner >> np.uint64(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(owner), np.int32)
 
 
-def _rows(layout: Layout, k: int, columns: list[np.ndarray], sums: list[np.ndarray]):
-    """Arrow rows (shard, n, body) of entries of order k; a body is all columns, then both counts, back to back."""
-    shards = layout.shard(layout.owner(k, columns[0], columns[-1]))
-    order = np.argsort(shards, kind="stable")
-    edges = np.flatnonzero(np.diff(shards[order], prepend=-1, append=1 << 40))
+def _by_shard(shards: np.ndarray, bits: int):
+    """(shard, rows) for each shard that occurs."""
+    order = np.argsort(shards.astype(np.uint16) if bits <= 16 else shards, kind="stable")
+    edges = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-2)) if len(order) else []
     for lo, hi in zip(edges, edges[1:]):
-        pick = order[lo:hi]
-        body = b"".join([*(c[pick].astype(U8).tobytes() for c in columns), *(s[pick].astype(U8).tobytes() for s in sums)])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shards[pick[0]]], pa.int32()), "n": pa.array([hi - lo], pa.int64()), "body": pa.array([body], pa.binary())})
+        yield int(shards[order[lo]]), order[lo:hi]
+
+
+#: k: order of the body's entries; 0 for words with how often they occur, -1 for statistics.
+ENTRIES = "shard int, k int, size long, body binary, stats array<long>"
+_FIELDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
 
-ENTRIES = "shard int, n long, body binary"
+def _row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _FIELDS)], names=["shard", "k", "size", "body", "stats"])
+
+
+def _rows(layout: Layout, k: int, hashes: np.ndarray, columns: list[np.ndarray], sums: np.ndarray):
+    owner = layout.owner(k, _contexts(hashes, columns), hashes[columns[-1]])
+    for shard, pick in _by_shard(layout.shard(owner), layout.bits):
+        yield _row(shard, k, *_pack(hashes, [c[pick] for c in columns], sums[pick]), None)
 
 
 def _count(layout: Layout):
-    """Texts to entries of the highest order, combined over FLUSH tokens."""
+    """Texts to entries of the highest order and to words, combined over FLUSH tokens."""
 
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            columns = [np.concatenate(x) for x in zip(*held)]
-            columns, (n,) = _combine(columns, [np.ones(len(columns[-1]), np.int64)])
-            yield from _rows(layout, layout.order, columns, [n, n])
+        def flush(held: list[Tokens]):
+            hashes, codes = np.unique(np.concatenate([t.hashes for t in held]), return_inverse=True)
+            edges, codes = np.cumsum([0, *(len(t.hashes) for t in held)]), codes.astype(np.int32)
+            columns = [np.concatenate([codes[a:][t.line[t.places - back]] for a, t in zip(edges, held)]) for back in range(layout.order - 1, -1, -1)]
+            words = np.bincount(columns[-1], minlength=len(hashes))
+            yield from _rows(layout, layout.order, hashes, *_sorted(columns, len(hashes)))
+            some = np.flatnonzero(words)
+            yield from _rows(layout, 0, hashes, [some], words[some])
 
+        held, size = [], 0
         for batch in batches:
-            words, contexts, _ = tokens(batch.column(0), layout.order)
-            held.append([*contexts[::-1], words])
-            size += len(words)
+            held.append(Tokens.of(batch.column(0), layout.order))
+            size += len(held[-1].places)
             if size >= FLUSH:
-                yield from flush()
+                yield from flush(held)
                 held, size = [], 0
-        if held:
-            yield from flush()
+        if size:
+            yield from flush(held)
 
     return run
 
 
 def _reduce(layout: Layout, k: int, folder: str):
-    """Entries of order k, shard by shard: writes the shard's arrays, hands on entries of order k - 1 and the statistics.
+    """Entries of order k, shard by shard: writes the shard's arrays, hands on entries of order k - 1, words and statistics.
 
-    Statistics are rows of shard -1: (order, counts of counts 1 to 4, entries, sum) and, of hot contexts, their parts.
+    Statistics are (order, context or 0, six numbers): counts of counts 1 to 4, entries and sum of an order, or sum and
+    entries of a hot context's part; what a task has of them is added up before it is handed on.
     """
 
-    def finish(shard: int, bodies: list[tuple[int, bytes]]):
-        width = max(k, 1) + 2
-        parts = [[np.frombuffer(body, U8, n, i * n * 8) for i in range(width)] for n, body in bodies]
-        whole = [np.concatenate(x) for x in zip(*parts)]
-        columns, (adjusted, raw) = _combine(whole[:-2], whole[-2:])
-        words = columns[-1]
-        stats = [k, *(int((adjusted == c).sum()) for c in range(1, 5)), len(words), int(adjusted.sum()), int(raw.sum())]
+    def finish(shard: int, bodies: dict[int, list], tell):
+        raw = bodies.pop(0, [])
         if k == 1:
-            write_file(f"{folder}/1-{shard}", b"".join([words.tobytes(), adjusted.astype(U8).tobytes(), raw.astype(U8).tobytes()]))
-            yield _stats(stats)
+            hashes, (words,), counts = _unpack(bodies.get(1, []) + raw, 1)
+            own = sum(_entries(b) for b in bodies.get(1, []))
+            add = lambda part: np.bincount(words[part], counts[part], len(hashes)).astype(np.int64)
+            adjusted, told = add(slice(0, own)), add(slice(own, None))
+            kept = adjusted > 0
+            tell(1, 0, [*(int((adjusted == c).sum()) for c in range(1, 5)), int(kept.sum()), int(adjusted.sum())])
+            tell(0, 0, [int(told.sum()), int((told > 0).sum()), 0, 0, 0, 0])
+            write_file(f"{folder}/1-{shard}", b"".join([hashes.tobytes(), adjusted.astype(U8).tobytes(), told.astype(U8).tobytes()]))
+            return
+        if raw:
+            hashes, columns, counts = _unpack(raw, 1)
+            columns, counts = _sorted(columns, len(hashes), counts)
+            yield _row(shard, 0, *_pack(hashes, columns, counts), None)
+        if k not in bodies:
             return
-        contexts = columns[0]
-        first = np.flatnonzero(np.diff(contexts, prepend=~contexts[:1]) != 0)
-        sums = [np.add.reduceat(x.astype(np.int64), first) for x in (adjusted, adjusted == 1, adjusted == 2, adjusted >= 3)]
+        hashes, columns, counts = _unpack(bodies.pop(k), k)
+        columns, counts = _sorted(columns, len(hashes), counts)
+        tell(k, 0, [*(int((counts == c).sum()) for c in range(1, 5)), len(counts), int(counts.sum())])
+        contexts = _contexts(hashes, columns)
+        first = np.flatnonzero(np.any([np.diff(c, prepend=-1) != 0 for c in columns[:-1]], axis=0))
+        sums = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts >= 3)]
         hot = np.isin(contexts[first], layout.hot[k - 2])
-        pairs = _mix(contexts, words)
-        order = np.argsort(pairs)
-        write_file(f"{folder}/{k}-{shard}", b"".join([pairs[order].tobytes(), adjusted[order].astype(U4).tobytes()]))
-        write_file(f"{folder}/{k}-{shard}-contexts", b"".join([contexts[first][~hot].tobytes(), *(s[~hot].astype(U4).tobytes() for s in sums)]))
-        yield _stats(stats)
         for i in np.flatnonzero(hot):
-            yield _stats([-k, int(contexts[first][i].view(np.int64)), *(int(s[i]) for s in sums), 0, 0])
-        columns, sums = _combine(columns[1:], [np.ones(len(words), np.int64), raw])
-        yield from _rows(layout, k - 1, columns, sums)
+            tell(k, int(contexts[first][i].view(np.int64)), [*(int(s[i]) for s in sums), 0, 0])
+        write_file(f"{folder}/{k}-{shard}", _table(_mix(contexts, hashes[columns[-1]]), counts[:, None]))
+        write_file(f"{folder}/{k}-{shard}-contexts", _table(contexts[first][~hot] << np.uint64(layout.bits), np.stack(sums, 1)[~hot]))
+        yield from _rows(layout, k - 1, hashes, *_sorted(columns[1:], len(hashes)))
 
     def run(batches):
-        now, bodies = None, []
+        stats: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0] * 6)
+
+        def tell(order: int, context: int, values: list[int]) -> None:
+            stats[order, context] = [a + b for a, b in zip(stats[order, context], values)]
+
+        now, bodies = None, defaultdict(list)
         for batch in batches:
-            for shard, n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if shard < 0:
-                    yield _stats(np.frombuffer(body.as_py(), "<i8").tolist())
+            for shard, kind, size, body, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if kind < 0:
+                    order, context, *values = told.as_py()
+                    tell(order, context, values)
                     continue
                 if shard != now and bodies:
-                    yield from finish(now, bodies)
-                    bodies = []
+                    yield from finish(now, bodies, tell)
+                    bodies = defaultdict(list)
                 now = shard
-                bodies.append((n, body.as_py()))
+                bodies[kind].append((size, body.as_py()))
         if bodies:
-            yield from finish(now, bodies)
+            yield from finish(now, bodies, tell)
+        for (order, context), values in stats.items():
+            yield _row(now or 0, -1, None, None, [order, context, *values])
 
     return run
 
 
-def _stats(values: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32()), "n": pa.array([0], pa.int64()), "body": pa.array([np.array(values, "<i8").tobytes()], pa.binary())})
+def _entries(body: tuple[int, bytes]) -> int:
+    return int(np.frombuffer(pa.decompress(body[1], decompressed_size=body[0], codec=_CODEC), "<i8", 1)[0])
+
+
+# --- files: sorted hash arrays ---
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Keys (u8) with a row of numbers each: the leading bits of a key are its bucket (about 16 keys have one), the next 32
+    stand sorted in it; different rows of numbers stand once, in the order of their first key."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    bits = max(0, math.ceil(math.log2(max(1, len(keys) / 16))))
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    offsets = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    alike = np.zeros(len(keys), U8)
+    for i in range(values.shape[1]):
+        alike = _mix(alike, values[:, i].astype(U8))
+    _, place, ids = np.unique(alike, return_index=True, return_inverse=True)
+    head = np.array([len(keys), bits, int(np.diff(offsets).max(initial=0)), len(place), values.shape[1]], "<i8")
+    return b"".join([head.tobytes(), values[place].astype("<i8").tobytes(), offsets.astype(U4).tobytes(), ((keys << np.uint64(bits)) >> np.uint64(32)).astype(U4).tobytes(), ids.astype(_code_type(len(place))).tobytes()])
+
+
+@functools.lru_cache(maxsize=16_384)
+def _mapped(uri: str):
+    raw = map_file(uri)
+    if raw is None or not len(raw):
+        return None
+    read = _Reader(raw)
+    n, bits, most, kinds, width = read.take("<i8", 5).tolist()
+    return bits, most, read.take("<i8", kinds * width).reshape(kinds, width), read.take(U4, (1 << bits) + 1), read.take(U4, n), read.take(_code_type(kinds), n)
+
+
+def _find(uri: str, keys: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:
+    """Puts the numbers of `keys` into `rows` of `out`: one binary search in each key's bucket, all keys at once."""
+    table = _mapped(uri)
+    if table is None or not len(table[4]):
+        return
+    bits, most, values, offsets, have, ids = table
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    wanted = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(U4)
+    low, high = offsets[bucket].astype(np.int64), offsets[bucket + 1].astype(np.int64)
+    end, last = high, len(have) - 1
+    for _ in range(int(most).bit_length()):
+        middle = (low + high) >> 1
+        right = (have[np.minimum(middle, last)] < wanted) & (middle < high)
+        low, high = np.where(right, middle + 1, low), np.where(right, high, middle)
+    spot = np.minimum(low, last)
+    hit = (low < end) & (have[spot] == wanted)
+    out[rows[hit]] = values[ids[spot[hit]]]
+
+
+@functools.lru_cache(maxsize=4096)
+def _mapped_words(uri: str):
+    raw = map_file(uri)
+    return None if raw is None or not len(raw) else raw.view(U8).reshape(3, -1)
 
 
 @dataclass
 class Model:
-    """What look-up needs besides the arrays in `folder`; as large for any corpus (hot contexts are at most a few thousand)."""
+    """What look-up needs besides the arrays in `folder`; as large for any corpus (hot contexts are at most some thousand)."""
 
     folder: str
     layout: Layout
-    discounts: list[list[float]]  # by order - 1: for counts 1, 2, 3 and more
-    totals: list[list[int]]  # by order - 1: entries with count 1, 2, 3 and more, sum of counts
+    discounts: list[list[float]]  # by order - 1: for counts 0, 1, 2, 3 and more
+    totals: list[list[int]]  # by order - 1: sum of counts, entries with count 1, 2, 3 and more
     tokens: int
     words: int
-    hot: list[dict[int, list[int]]]  # by context length - 1: of hot contexts, sum and entries with count 1, 2, 3 and more
+    hot: list[np.ndarray]  # by context length - 1: of the layout's hot contexts, sum and entries with count 1, 2, 3 and more
 
 
-def train(texts: DataFrame, order: int = 2) -> Model:
-    """A model of the whole texts (one column, null as empty) of the given order, in files of the shared folder.
+def train(texts: DataFrame, order: int = 3) -> Model:
+    """A model of the whole texts (one column, null as empty) of the given order (2 or more), in files of the shared folder.
 
     Workers count n-grams and combine equal ones before they are dealt to shards; each shard is sorted and written by one
     task, which hands on the entries of the next lower order, whose count is the number of different words before them.
-    Shards have about SHARD_ENTRIES entries whatever the corpus; contexts with HOT_SHARE of the tokens are dealt over
-    SALTS shards. Discounts come from the counts of counts of all shards.
+    Shards stand for about SHARD_TOKENS tokens whatever the corpus; contexts with HOT_SHARE of the tokens are dealt over
+    SALTS shards. Which ones is told by one text in LAYOUT_SAMPLE: that decides where entries go, not what they are, and
+    all counts and statistics are those of all texts. Discounts come from the counts of counts of all shards.
     """
     spark = texts.sparkSession
     small_batches(spark)
@@ -215,122 +367,115 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         found: dict[tuple[int, int], int] = {}
         total = 0
         for batch in batches:
-            words, contexts, _ = tokens(batch.column(0), order)
-            total += len(words)
-            for k, context in enumerate(contexts):
+            t = Tokens.of(batch.column(0), order)
+            total += len(t.places)
+            context = np.zeros(len(t.places), U8)
+            for k in range(order - 1):
+                context = _mix(context, t.hashes[t.line[t.places - k - 1]])
                 kinds, n = np.unique(context, return_counts=True)
-                often = n > max(8, len(words) * HOT_SHARE / 2)
+                often = n > max(8, len(t.places) * HOT_SHARE / 2)
                 for c, m in zip(kinds[often].view(np.int64).tolist(), n[often].tolist()):
                     found[k, c] = found.get((k, c), 0) + m
         rows = [(-1, 0, total), *((k, c, m) for (k, c), m in found.items() if m > total * HOT_SHARE / 4)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["k", "context", "n"])
 
-    seen = texts.mapInArrow(heavy, "k int, context long, n long").groupBy("k", "context").agg(F.sum("n").alias("n")).persist()
-    total = seen.filter("k = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = seen.filter((F.col("k") >= 0) & (F.col("n") > total * HOT_SHARE)).collect()
-    seen.unpersist()
+    sample = texts.filter(hash_bits(F.col("text"), F.lit("layout")) % LAYOUT_SAMPLE == 0)
+    seen = materialise(sample.mapInArrow(heavy, "k int, context long, n long").groupBy("k", "context").agg(F.sum("n").alias("n")), "heavy")
+    own = seen.filter("k < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = seen.filter((F.col("k") >= 0) & (F.col("n") > own * HOT_SHARE)).collect()
+    total = LAYOUT_SAMPLE * own
     hot = [np.sort(np.array([r["context"] for r in often if r["k"] == k], np.int64).view(U8)) for k in range(order - 1)]
-    layout = Layout(order, max(0, math.ceil(math.log2(max(1, total / SHARD_ENTRIES)))) + 3 * (total > SHARD_ENTRIES), hot)
+    layout = Layout(order, max(0, math.ceil(math.log2(max(1, total / SHARD_TOKENS)))), hot)
     folder = scratch_path(spark, "ngrams")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << layout.bits) // 4)
+    shards = 1 << layout.bits
+    tasks = min(shards, MOST_TASKS)
     rows = texts.mapInArrow(_count(layout), ENTRIES)
     for k in range(order, 0, -1):
-        spread = F.when(F.col("shard") < 0, F.col("n")).otherwise(F.col("shard"))
-        rows = rows.repartition(tasks, spread).sortWithinPartitions("shard").mapInArrow(_reduce(layout, k, folder), ENTRIES)
-    told = [np.frombuffer(r["body"], "<i8").tolist() for r in rows.select("body").collect()]
-    return _model(folder, layout, told)
+        rows = rows.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard").mapInArrow(_reduce(layout, k, folder), ENTRIES)
+    told = rows.filter("k < 0").groupBy(F.get("stats", F.lit(0)).alias("order"), F.get("stats", F.lit(1)).alias("context"))
+    told = told.agg(*[F.sum(F.get("stats", F.lit(2 + i))).alias(f"s{i}") for i in range(6)]).collect()
+    return _model(folder, layout, {(r["order"], r["context"]): [r[f"s{i}"] for i in range(6)] for r in told})
 
 
-def _model(folder: str, layout: Layout, told: list[list[int]]) -> Model:
+def _model(folder: str, layout: Layout, told: dict[tuple[int, int], list[int]]) -> Model:
     discounts, totals, hot = [], [], []
-    sizes = (0, 0)
     for k in range(1, layout.order + 1):
-        n1, n2, n3, n4, entries, adjusted, raw = (sum(r[i] for r in told if r[0] == k) for i in range(1, 8))
+        n1, n2, n3, n4, entries, adjusted = told.get((k, 0), [0] * 6)
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         ds = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        discounts.append([min(max(d, 0.1), c - 0.05) for c, d in enumerate(ds, 1)])
-        totals.append([n1, n2, entries - n1 - n2, adjusted])
-        if k == 1:
-            sizes = (raw, entries)
-        else:
-            parts: dict[int, list[int]] = {}
-            for r in told:
-                if r[0] == -k:
-                    parts[r[1]] = [a + b for a, b in zip(parts.get(r[1], [0] * 4), r[2:6])]
-            hot.append(parts)
-    return Model(folder, layout, discounts, totals, sizes[0], sizes[1], hot)
-
-
-@functools.lru_cache(maxsize=4096)
-def _mapped(uri: str) -> np.ndarray | None:
-    return map_file(uri)
-
-
-def _look_up(model: Model, name: str, owner: np.ndarray, keys: np.ndarray, widths: list[int]) -> list[np.ndarray]:
-    """The counts stored beside each key in the files `name` (0 where there is none): one binary search a shard."""
-    out = [np.zeros(len(keys), np.int64) for _ in widths]
-    shards = model.layout.shard(owner)
-    order = np.lexsort((keys, shards))
-    edges = np.flatnonzero(np.diff(shards[order], prepend=-1, append=1 << 40))
-    for lo, hi in zip(edges, edges[1:]):
-        pick = order[lo:hi]
-        raw = _mapped(f"{model.folder}/{name.format(shards[pick[0]])}")
-        if raw is None or not len(raw):
-            continue
-        n = len(raw) // (8 + sum(widths))
-        have, wanted = raw[: 8 * n].view(U8), keys[pick]
-        spot = np.minimum(np.searchsorted(have, wanted), n - 1)
-        hit = have[spot] == wanted
-        at = 8 * n
-        for values, width in zip(out, widths):
-            values[pick[hit]] = raw[at : at + width * n].view(U8 if width == 8 else U4)[spot[hit]]
-            at += width * n
+        discounts.append([0.0, *(min(max(d, 0.1), c - 0.05) for c, d in enumerate(ds, 1))])
+        totals.append([adjusted, n1, n2, entries - n1 - n2])
+        if k > 1:
+            hot.append(np.array([told.get((k, c), [0] * 6)[:4] for c in layout.hot[k - 2].view(np.int64).tolist()], np.int64).reshape(-1, 4))
+    tokens, words = told.get((0, 0), [0] * 6)[:2]
+    return Model(folder, layout, discounts, totals, tokens, words, hot)
+
+
+def _words(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many different words stand before each word in training, and how often it occurs."""
+    out = np.zeros((2, len(hashes)), np.int64)
+    for shard, pick in _by_shard(model.layout.shard(hashes), model.layout.bits):
+        table = _mapped_words(f"{model.folder}/1-{shard}")
+        if table is not None:
+            spot = np.minimum(np.searchsorted(table[0], hashes[pick]), table.shape[1] - 1)
+            hit = table[0][spot] == hashes[pick]
+            out[:, pick[hit]] = table[1:, spot[hit]]
+    return out[0], out[1]
+
+
+def _context_sums(model: Model, k: int, contexts: np.ndarray) -> np.ndarray:
+    """sum, entries with count 1, 2, 3 and more of contexts of k - 1 words."""
+    out = np.zeros((len(contexts), 4), np.int64)
+    for shard, pick in _by_shard(model.layout.shard(contexts), model.layout.bits):
+        _find(f"{model.folder}/{k}-{shard}-contexts", contexts[pick] << np.uint64(model.layout.bits), out, pick)
+    hot = model.layout.hot[k - 2]
+    if len(hot):
+        spot = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
+        own = hot[spot] == contexts
+        out[own] = model.hot[k - 2][spot[own]]
     return out
 
 
-def log_probabilities(model: Model, words: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token's probability by the model, and how often the token occurs in training."""
-    discount = lambda k, c: np.where(c >= 3, model.discounts[k - 1][2], np.where(c == 2, model.discounts[k - 1][1], np.where(c == 1, model.discounts[k - 1][0], 0.0)))
-    kept = lambda k, n: sum(d * m for d, m in zip(model.discounts[k - 1], n))
-    kinds, back = np.unique(words, return_inverse=True)
-    before, raw = _look_up(model, "1-{}", kinds, kinds, [8, 8])
-    total = model.totals[0][3]
+    words = t.line[t.places]
+    before, raw = _words(model, t.hashes)
+    total, *kept = model.totals[0]
+    discount = lambda k, c: np.array(model.discounts[k - 1])[np.minimum(c, 3)]
     if total:
-        p = (before - discount(1, before)) / total + kept(1, model.totals[0][:3]) / total / (model.words + 1)
+        p = (before - discount(1, before)) / total + sum(d * m for d, m in zip(model.discounts[0][1:], kept)) / total / (model.words + 1)
     else:
-        p = np.ones(len(kinds))
-    p, raw = p[back], raw[back]
+        p = np.ones(len(t.hashes))
+    p, raw = p[words], raw[words]
+    context, ends = np.zeros(len(words), U8), t.hashes[words]
     for k in range(2, model.layout.order + 1):
-        context = contexts[k - 2]
-        owner, pairs = model.layout.owner(k, context, words), _mix(context, words)
-        (count,) = _look_up(model, f"{k}-{{}}", owner, pairs, [4])
-        kinds, back = np.unique(context, return_inverse=True)
-        sums = _look_up(model, f"{k}-{{}}-contexts", kinds, kinds, [4] * 4)
-        for c, values in model.hot[k - 2].items():
-            spot = kinds == np.array([c], np.int64).view(U8)[0]
-            for s, v in zip(sums, values):
-                s[spot] = v
-        total, *n = (s[back] for s in sums)
-        known = total > 0
-        safe = np.where(known, total, 1)
-        p = np.where(known, (count - discount(k, count)) / safe + kept(k, n) / safe * p, p)
+        back = t.line[t.places - k + 1]
+        context = _mix(context, t.hashes[back])
+        count, pairs = np.zeros((len(words), 1), np.int64), _mix(context, ends)
+        for shard, pick in _by_shard(model.layout.shard(model.layout.owner(k, context, ends)), model.layout.bits):
+            _find(f"{model.folder}/{k}-{shard}", pairs[pick], count, pick)
+        count = count[:, 0]
+        sums = _context_sums(model, k, context) if k > 2 else _context_sums(model, 2, _mix(np.zeros(len(t.hashes), U8), t.hashes))[back]
+        known = sums[:, 0] > 0
+        safe = np.where(known, sums[:, 0], 1)
+        p = np.where(known, (count - discount(k, count)) / safe + sums[:, 1:] @ np.array(model.discounts[k - 1][1:]) / safe * p, p)
     return np.log10(p), raw
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for every row (whole texts, null as empty)."""
+    """doc_id, n_tokens, n_known, base_score, score for every row (whole texts, null as empty); repeated rows stay."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     n, v = model.tokens, model.words
 
     def run(batches):
         for batch in batches:
-            words, contexts, counts = tokens(batch.column(1), model.layout.order)
-            first = np.cumsum(counts) - counts
-            logs, raw = log_probabilities(model, words, contexts)
+            t = Tokens.of(batch.column(1), model.layout.order)
+            first = np.cumsum(t.counts) - t.counts
+            logs, raw = log_probabilities(model, t)
             base = np.log10((raw + 0.5) / (n + 0.5 * (v + 1)))
             add = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(add((raw > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(logs))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t.counts.astype(np.int64)), pa.array(add((raw > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(logs))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
@@ -340,6 +485,11 @@ def fold(doc_id: str):
 
 
 def op8_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all `documents` by a model of order 3 of those whose fold is not 1, a row for each row.
+
+    Null and empty texts have one token, the end; a null doc_id counts as '' for the fold; repeated rows count and are
+    scored as often as they are there; further columns play no part; an empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.filter(fold("doc_id") != 1).select("text"))
     out = score(docs, model)

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -75,16 +76,52 @@ def test_probabilities_sum_to_one(spark):
     assert sum(plain.probability(("a".encode(), w)) for w in [*plain.raw, b"unknown"]) == pytest.approx(1)
 
 
-def test_many_shards_and_hot_contexts(spark, documents, monkeypatch):
-    monkeypatch.setattr(ngram, "SHARD_ENTRIES", 500)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_many_shards_and_hot_contexts(spark, documents, monkeypatch, order):
+    monkeypatch.setattr(ngram, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(ngram, "LAYOUT_SAMPLE", 1)
     docs = documents.filter("doc_id < 60").select("doc_id", "text")
-    model = ngram.train(docs.select("text"))
-    assert model.layout.bits > 3 and len(model.layout.hot[0]) > 0
-    plain = Plain([r["text"] for r in docs.collect()], 2)
+    model = ngram.train(docs.select("text"), order)
+    assert model.layout.bits > 3 and len(model.layout.hot[0]) > 0 and len(model.hot[0]) == len(model.layout.hot[0])
+    plain = Plain([r["text"] for r in docs.collect()], order)
     for r in ngram.score(docs, model).join(docs, "doc_id").collect():
         assert r["score"] == pytest.approx(plain.score(r["text"]), rel=1e-9)
 
 
+def test_small_numbers_and_rows_of_many_kinds():
+    values = np.array([0, 1, 254, 255, 256, 10**12])
+    assert ngram._Reader(b"".join(ngram._small(values))).small(6).tolist() == values.tolist()
+    rng = np.random.default_rng(1)
+    hashes = np.sort(rng.integers(0, 1 << 63, 70_000).astype(np.uint64))
+    columns = [rng.integers(0, 70_000, 200_000) for _ in range(3)]
+    got = ngram._unpack([ngram._pack(hashes, columns, np.arange(200_000))], 3)
+    assert all((got[0][a] == hashes[b]).all() for a, b in zip(got[1], columns)) and (got[2] == np.arange(200_000)).all()
+    # more columns than one long can hold
+    wide = [rng.integers(0, 3, 500) for _ in range(3)]
+    rows, sums = ngram._sorted(wide, 1 << 30)
+    assert Counter(zip(*map(np.ndarray.tolist, wide))) == dict(zip(zip(*map(np.ndarray.tolist, rows)), sums.tolist()))
+    assert list(zip(*map(np.ndarray.tolist, rows))) == sorted(zip(*map(np.ndarray.tolist, rows)))
+
+
+def test_tables_hold_what_they_were_given(tmp_path):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 17, 5000):
+        keys = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        values = rng.integers(0, 1000, (n, 2))
+        files.write_file(f"file://{tmp_path}/{n}", ngram._table(keys, values))
+        asked = np.concatenate([keys, rng.integers(0, 1 << 63, 50).astype(np.uint64)])
+        out = np.zeros((len(asked), 2), np.int64)
+        ngram._find(f"file://{tmp_path}/{n}", asked, out, np.arange(len(asked)))
+        assert (out[:n] == values).all() and not out[n:].any()
+
+
+def test_the_query_is_the_plain_model(spark, sf_dir, documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    plain = Plain([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    for r in ngram.op8_ngram(spark, sf_dir).collect():
+        assert r["score"] == pytest.approx(plain.score(texts[r["doc_id"]]), rel=1e-9) and r["train_tokens"] == sum(plain.raw.values())
+
+
 def test_held_out_documents(spark, sf_dir, documents):
     rows = ngram.op8_ngram(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in rows) and len(rows) == documents.count()
@@ -94,13 +131,13 @@ def test_held_out_documents(spark, sf_dir, documents):
 
 def test_tokens_are_byte_words(spark):
     texts = [r[1] for r in ROWS] + ["A\x0bB\x0cC\rd e f", "İÄ \x1c \x85"]
-    words, _, counts = ngram.tokens(pa.array(texts, pa.string()), 2)
-    assert counts.tolist() == [len((t or "").encode().lower().split()) + 1 for t in texts] and counts.sum() == len(words)
+    t = ngram.Tokens.of(pa.array(texts, pa.string()), 2)
+    assert t.counts.tolist() == [len((x or "").encode().lower().split()) + 1 for x in texts] and t.counts.sum() == len(t.places)
 
 
 def test_odd_rows(odd, none):
     model = ngram.train(odd.select("text"))
-    plain = Plain([r[1] for r in ROWS], 2)
+    plain = Plain([r[1] for r in ROWS], 3)
     got = ngram.score(odd, model).collect()
     assert sorted(round(r["score"], 6) for r in got) == sorted(round(plain.score(r[1]), 6) for r in ROWS)
     empty = ngram.train(none.select("text"))
