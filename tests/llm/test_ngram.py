@@ -62,11 +62,11 @@ def test_scores_are_those_of_the_formula(spark, documents, order):
     train = docs.filter("doc_id % 4 <> 0")
     model = ngram.train(train.select("text"), order)
     plain = Plain([r["text"] for r in train.collect()], order)
-    assert (model.tokens, model.words) == (sum(plain.raw.values()), len(plain.raw))
+    assert (model.vocabulary.tokens, len(model.vocabulary)) == (sum(plain.raw.values()), len(plain.raw))
     for r in ngram.score(docs, model).join(docs, "doc_id").collect():
         assert r["score"] == pytest.approx(plain.score(r["text"]), rel=1e-9)
         line = plain.line(r["text"])[order - 1 :]
-        base = sum(math.log10((plain.raw[w] + 0.5) / (model.tokens + 0.5 * (model.words + 1))) for w in line)
+        base = sum(math.log10((plain.raw[w] + 0.5) / (model.vocabulary.tokens + 0.5 * (len(model.vocabulary) + 1))) for w in line)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["n_tokens"] == len(line) and r["n_known"] == sum(w in plain.raw for w in line)
 
 
@@ -78,7 +78,7 @@ def test_probabilities_sum_to_one(spark):
 
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_many_shards_and_hot_contexts(spark, documents, monkeypatch, order):
-    monkeypatch.setattr(ngram, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(ngram, "SHARD_BYTES", 3000)
     monkeypatch.setattr(ngram, "LAYOUT_SAMPLE", 1)
     docs = documents.filter("doc_id < 60").select("doc_id", "text")
     model = ngram.train(docs.select("text"), order)
@@ -92,10 +92,9 @@ def test_small_numbers_and_rows_of_many_kinds():
     values = np.array([0, 1, 254, 255, 256, 10**12])
     assert ngram._Reader(b"".join(ngram._small(values))).small(6).tolist() == values.tolist()
     rng = np.random.default_rng(1)
-    hashes = np.sort(rng.integers(0, 1 << 63, 70_000).astype(np.uint64))
-    columns = [rng.integers(0, 70_000, 200_000) for _ in range(3)]
-    got = ngram._unpack([ngram._pack(hashes, columns, np.arange(200_000))], 3)
-    assert all((got[0][a] == hashes[b]).all() for a, b in zip(got[1], columns)) and (got[2] == np.arange(200_000)).all()
+    columns = [rng.integers(0, most, 20_000) for most in (200, 70_000, 1 << 40)]
+    got, sums = ngram._unpack([ngram._pack([c[:9] for c in columns], np.arange(9)), ngram._pack([c[9:] for c in columns], np.arange(9, 20_000))], 3)
+    assert all((a == b).all() for a, b in zip(got, columns)) and (sums == np.arange(20_000)).all()
     # more columns than one long can hold
     wide = [rng.integers(0, 3, 500) for _ in range(3)]
     rows, sums = ngram._sorted(wide, 1 << 30)
@@ -141,7 +140,7 @@ def test_odd_rows(odd, none):
     got = ngram.score(odd, model).collect()
     assert sorted(round(r["score"], 6) for r in got) == sorted(round(plain.score(r[1]), 6) for r in ROWS)
     empty = ngram.train(none.select("text"))
-    assert ngram.score(none, model).count() == 0 and empty.tokens == 0
+    assert ngram.score(none, model).count() == 0 and empty.vocabulary.tokens == 0
     assert all(math.isfinite(r["score"]) for r in ngram.score(odd.filter(F.col("doc_id") == 1), empty).collect())
 
 
