@@ -21,11 +21,13 @@ def test_votes_are_those_of_brute_force():
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd!!", "ee$$"], 30)) for _ in range(80)]
     counts, labels = np.stack([quality.terms(t) for t in texts]), rng.integers(0, 2, 80)
-    voters = quality.Voters.fit(counts, labels, axes=8, neighbours=5)
-    new = np.stack([quality.terms(" ".join(rng.choice(["aa", "bb", "ee$$", "zz"], 20))) for _ in range(10)])
+    keys = np.array([quality.text_key(t) for t in texts], np.uint64)
+    voters = quality.Voters.fit(counts, labels, keys, axes=8, neighbours=5)
+    asked = [" ".join(rng.choice(["aa", "bb", "ee$$", "zz"], 20)) for _ in range(10)] + texts[:5]
+    new = np.stack([quality.terms(t) for t in asked])
     z = quality.Voters.weigh(new, voters.idf) @ voters.axes
-    for row, got in zip(z, voters.score(new)):
-        near = voters.vectors @ (row / np.linalg.norm(row))
+    for text, row, got in zip(asked, z, voters.score(new, np.array([quality.text_key(t) for t in asked], np.uint64))):
+        near = np.where([t == text for t in texts], -1, voters.vectors @ (row / np.linalg.norm(row)))
         best = np.argsort(-near)[:5]
         weight = np.maximum(near[best].astype(float), 0) ** 8
         assert abs(got - (weight * labels[best]).sum() / weight.sum()) < 1e-5
@@ -39,6 +41,36 @@ def test_labels_are_bounded_and_repeatable(spark, documents, sf_dir):
     assert len(a.labels) == 30 and np.allclose(a.vectors, b.vectors, atol=1e-5)
 
 
+def test_no_row_votes_for_itself(spark, documents):
+    """With labels that say nothing, rows labelled 1 and 0 score alike."""
+    labels = documents.select("doc_id", (F.xxhash64("doc_id", F.lit(5)) % 2 == 0).cast("int").alias("quality"))
+    rows = quality.score(documents.join(labels, "doc_id").select("doc_id", "text", "quality"), quality.fit(documents, labels)).collect()
+    one, zero = ([r["_score"] for r in rows if r["quality"] == y] for y in (1, 0))
+    assert abs(np.mean(one) - np.mean(zero)) < 4 * (np.var(one) / len(one) + np.var(zero) / len(zero)) ** 0.5
+    assert max(abs(r["_score"] - r["quality"]) for r in rows) > 0.3
+
+
+def test_ids_with_many_rows_are_one_voter_each(spark):
+    rows = spark.createDataFrame([(i, f"text {j} of {i} " * 5) for i in range(10) for j in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    a, b = (quality.fit(rows.repartition(n), labels, sample=10) for n in (1, 7))
+    assert len(a.labels) == 10 and sorted(a.labels) == [0] * 5 + [1] * 5 and (a.keys == b.keys).all() and np.allclose(a.vectors, b.vectors, atol=1e-5)
+
+
+def test_the_query_is_that_of_brute_force(spark, sf_dir, documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    counts = np.stack([quality.terms(texts[i]) for i in sorted(known, key=str)])
+    y = np.array([known[i] for i in sorted(known, key=str)], float)
+    voters = quality.Voters.fit(counts, y, np.array([quality.text_key(texts[i]) for i in sorted(known, key=str)], np.uint64))
+    for r in quality.op2_quality(spark, sf_dir).collect():
+        z = quality.Voters.weigh(quality.terms(texts[r["doc_id"]])[None], voters.idf)[0] @ voters.axes
+        near = np.where([texts[i] == texts[r["doc_id"]] for i in sorted(known, key=str)], -1, voters.vectors @ (z / max(np.linalg.norm(z), 1e-9)))
+        best = np.argsort(-near)[:15]
+        weight = np.maximum(near[best].astype(float), 0) ** 8
+        assert abs(r["score"] - (weight @ y[best] / weight.sum() if weight.sum() > 1e-12 else y.mean())) < 2e-3
+
+
 def test_odd_rows(spark, odd, none, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     voters = quality.fit(documents, labels.unionByName(labels.limit(2).withColumn("quality", F.lit(None).cast("int"))))
