@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import boxed, read_table, unboxed
+from larkspur.llm.common import boxed, hash_bits, read_table, scratch_path, unboxed
 
 #: kind, pattern, the group whose length counts, its least length; in the order in which kinds are listed.
 RULES = (
@@ -13,7 +15,8 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),  # of AKIA[A-Z0-9]+ only matches of 20 or more count: runs are maximal
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-RULE_VERSION = "1"
+#: Changes with any rule, so that findings of an edited rule are never those of the old one.
+RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
@@ -53,29 +56,56 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     Every version of every path is one row of `docs`; equal contents are scanned once, whoever holds them. Blobs without
     findings are rows with no spans, so they are not scanned again. Append the result to the ledger's table.
     """
-    blobs = blob_ids(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))).dropDuplicates(["blob"])
+    blobs = blob_ids(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")))
     if ledger is not None:
         blobs = blobs.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return blobs.select("blob", F.lit(version).alias("rule_version"), find(F.col("text")).alias("spans"))
+    return blobs.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rule_version"), find(F.col("text")).alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
     """doc_id, text (and _row of boxed tables), blob and spans from the ledger: all paths of a blob get its findings.
 
-    Rows are never dropped. Only blobs with findings are looked up; the hash of the blob's commonest holder may be any share of the rows, which
-    a plain equality join leaves to the adaptive skew split.
+    Rows are never dropped. Only blobs with findings are looked up, each once, however often the ledger holds it; one
+    blob may be any share of the rows, which a plain equality join leaves to the adaptive skew split.
     """
-    hits = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    hits = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     paths = docs.select(*[c for c in ("doc_id", "text", "_row") if c in docs.columns])
     return blob_ids(paths).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
+class Ledger:
+    """The ledger's table: Parquet in a folder, partitioned by rule version, that scans append to."""
+
+    SCHEMA = f"blob string, spans {SPAN}, rule_version string"
+
+    def __init__(self, spark: SparkSession, path: str, version: str = RULE_VERSION):
+        self.spark, self.path, self.version = spark, path, version
+
+    def rows(self) -> DataFrame:
+        """blob, spans, rule_version of all that was scanned so far, under any version."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def update(self, docs: DataFrame) -> Ledger:
+        """Scans the blobs of `docs` that are not there under this version, and appends them. The folder is only added to."""
+        scan(docs, self.rows(), self.version).write.mode("append").partitionBy("rule_version").parquet(self.path)
+        return self
+
+    def findings(self, docs: DataFrame) -> DataFrame:
+        return findings(docs, self.rows(), self.version)
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span of every text replaced by `mark`; overlapping spans are one. n_chars (if there) follows."""
+    """`docs` with every span of every text replaced by `mark`; overlapping spans are one. n_chars (if there) follows.
+
+    Null texts stay null, repeated rows and further columns stay as they are, an empty table gives no rows.
+    """
     rows = boxed(docs)
     found = findings(rows, scan(rows))
     text = F.col("text")
@@ -92,8 +122,15 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all `documents`, a row for each row, by a ledger that is filled in two deliveries.
+
+    First comes about a half of the rows, then the whole table, of which only blobs that the first did not hold are
+    scanned; all rows then read the ledger. Null texts are empty; a null doc_id is a row as any other; repeated rows stay;
+    further columns play no part; an empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(docs, scan(docs))
+    early = docs.filter(hash_bits(F.col("doc_id"), F.lit("delivery")) < F.lit(1 << 62))
+    found = Ledger(spark, scratch_path(spark, "ledger")).update(early).update(docs).findings(docs)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 

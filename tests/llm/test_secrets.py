@@ -49,3 +49,24 @@ def test_ledger_grows_only_by_the_unseen(spark, odd):
     assert secrets.scan(odd, first, version="2").count() == first.count() == len({r[1] or "" for r in ROWS})
     both = first.unionByName(new)
     assert {r["doc_id"]: len(r["spans"]) for r in secrets.findings(more, both).collect()} == {20: 1, 21: 0}
+
+
+def test_ledger_table(spark, odd, none, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows().count() == 0 and ledger.update(none).rows().count() == 0
+    texts = {r[1] or "" for r in ROWS}
+    ledger.update(odd.filter("doc_id < 5")).update(odd).update(odd)
+    blobs = [r["blob"] for r in ledger.rows().collect()]
+    assert len(blobs) == len(set(blobs)) == len(texts)
+    # the same batch appended twice by hand, and another version's findings, change nothing
+    ledger.rows().write.mode("append").partitionBy("rule_version").parquet(str(tmp_path / "copy"))
+    ledger.rows().write.mode("append").partitionBy("rule_version").parquet(str(tmp_path / "copy"))
+    other = secrets.Ledger(spark, str(tmp_path / "copy"), "another").update(odd)
+    assert other.rows().count() == 3 * len(texts)
+    for found in (ledger.findings(odd), secrets.Ledger(spark, str(tmp_path / "copy")).findings(odd), other.findings(odd)):
+        got = found.select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()
+        assert sorted((str(r["doc_id"]), r["s"]) for r in got) == sorted((str(r[0]), plain(r[1])) for r in ROWS)
+
+
+def test_the_version_follows_the_rules():
+    assert secrets.RULE_VERSION == hashlib.sha256(repr(secrets.RULES).encode()).hexdigest()[:16]
