@@ -13,17 +13,29 @@ BINS = 4096
 OVERHEAD = 16
 
 
-def _code(name: str) -> Column:
-    """A word as a number from 0 to 1 that sorts as its first seven bytes do (UTF-8), 0 for null."""
-    raw = F.rpad(F.hex(F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(raw, 16, 10).cast("double") / float(1 << 56)
-
-
 def coordinates(docs: DataFrame) -> DataFrame:
-    """size, the metadata dimensions (doubles: length, source, language; nulls come first in each) and node 0 of each row."""
+    """size, the metadata (length as log2 of the size; source and language by name), hashes and node 0 of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD
-    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.log2(size.cast("double")).alias("x0"), _code("source").alias("x1"), _code("lang").alias("x2"), hash_bits(text).alias("same"), hash_bits(F.col("doc_id"), F.lit("tie"), F.col("source")).alias("tie"), F.lit(0).alias("node"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.log2(size.cast("double")).alias("x0"), F.col("source").cast("string").alias("x1"), F.col("lang").cast("string").alias("x2"), hash_bits(text).alias("same"), hash_bits(F.col("doc_id"), F.lit("tie"), F.col("source")).alias("tie"), F.lit(0).alias("node"))
+
+
+def ranks(own: DataFrame, name: str) -> DataFrame:
+    """name, place: the rank (from 1) of each distinct value of a column, whole names in code-point order; nulls have none.
+
+    Values are dealt by ranges and numbered inside; the ranges' counts come to the driver.
+    """
+    values = own.select(name).filter(F.col(name).isNotNull()).distinct()
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = materialise(values.repartitionByRange(tasks, name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("_p"), inside.alias("_i")), "ranks")
+    counts = {r["_p"]: r["count"] for r in dealt.groupBy("_p").count().collect()}
+    before, starts = 1, []
+    for p in sorted(counts):
+        starts.append((p, before))
+        before += counts[p]
+    table = own.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return dealt.join(F.broadcast(table), "_p").select(name, (F.col("_start") + F.col("_i")).cast("double").alias("place"))
 
 
 DIMENSIONS = ("x0", "x1", "x2")
@@ -115,9 +127,13 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
     Give the number of shards, or the bytes that a shard should have. Size: UTF-8 bytes of the text (null: none) plus 16.
     Shards get near equal bytes. Equal texts share their coordinates (the least of each among them), so they stay together
     but for those that outweigh a share of a shard, where a cut falls among them. Slots are gapless from 0 in each shard,
-    in a fixed pseudo-random order. Null metadata sort first. An empty table gives no rows.
+    in a fixed pseudo-random order. Source and language count by the rank of the whole name among all, null first.
+    Null texts are empty; repeated rows stay; an empty table gives no rows.
     """
     own = materialise(coordinates(docs), "own")
+    for name in ("x1", "x2"):
+        own = own.join(ranks(own, name), name, "left").drop(name).withColumnRenamed("place", name).fillna(0.0, [name])
+    own = materialise(own, "ranked")
     rows, total, *ends = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), *[f(x) for x in DIMENSIONS for f in (F.min, F.max)]).first()
     scaled = lambda x, low, high: (F.min(x) - F.lit(low)) / F.lit((high - low) or 1.0)
     alike = own.groupBy("same").agg(*[scaled(x, ends[2 * i] or 0.0, ends[2 * i + 1] or 0.0).alias(x) for i, x in enumerate(DIMENSIONS)])
@@ -128,6 +144,11 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 40 shards of near equal bytes, a row for each row; `grown_shard` is null under this law.
+
+    Null texts are empty (16 bytes); null metadata sort first; repeated rows are rows of their own; further columns play
+    no part; an empty table gives no rows.
+    """
     out = shard(read_table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

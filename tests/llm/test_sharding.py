@@ -41,6 +41,30 @@ def test_one_hot_text_is_split(spark):
     assert len(load) == 10 and max(load.values()) - min(load.values()) <= 40
 
 
+def test_whole_names_have_ranks(spark):
+    """Names that are alike for long are told apart; the tree then cuts between them, not through them."""
+    names = [f"https://example.org/a/very/long/path/{i}" for i in range(8)] + [None, ""]
+    rows = spark.createDataFrame([(100 * i + j, f"{i:02} {j:02} some text", "en", n) for i, n in enumerate(names) for j in range(40)], "doc_id long, text string, lang string, source string")
+    own = sharding.coordinates(rows)
+    got = {r["x1"]: r["place"] for r in sharding.ranks(own, "x1").collect()}
+    assert got == {n: i + 1.0 for i, n in enumerate(sorted(n for n in names if n is not None))}
+    shards = {}
+    for r in sharding.shard(rows, shards=5).collect():
+        shards.setdefault(r["doc_id"] // 100, set()).add(r["shard"])
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_any_partitioning_gives_the_same_rows(spark, documents):
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(str, sharding.shard(documents.repartition(n), shards=6).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 def test_odd_rows(odd, none):
     check(sharding.shard(odd, shards=3).collect(), [r[1] for r in ROWS], 3)
     check(sharding.shard(odd, shards=40).collect(), [r[1] for r in ROWS], 40)
