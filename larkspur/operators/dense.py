@@ -17,28 +17,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def _packed(rows: DataFrame, key: str, block: int, name: str) -> DataFrame:
-    """Rows (key, vector) in blocks: arrays of keys and one binary matrix of doubles."""
+def _packed(rows: DataFrame, key: str, block: int, name: str, part: Column | None = None) -> tuple[DataFrame, int]:
+    """Rows (key, vector) in blocks inside each part: arrays of keys and one binary matrix of doubles; blocks a part."""
     blocks = max(1, -(-rows.count() // block))
 
     def pack(table: pa.Table) -> pa.Table:
         x = np.stack(table.column("vector").to_numpy()).astype(np.float64)
         return pa.table({"block": table.column("block").slice(0, 1), f"{name}_keys": pa.array([table.column(key).to_pylist()], pa.list_(pa.string())), f"{name}_x": pa.array([x.tobytes()], pa.binary())})
 
-    dealt = rows.select(F.col(key).cast("string").alias(key), F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    number = (F.lit(0) if part is None else part.cast("int")) * blocks + F.pmod(F.xxhash64("_vector"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("_vector", F.col("vector").cast("array<double>")).select(F.col(key).cast("string").alias(key), F.col("_vector").alias("vector"), number.alias("block"))
     return dealt.groupBy("block").applyInArrow(pack, f"block int, {name}_keys array<string>, {name}_x binary"), blocks
 
 
-def topk(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def topk(passages: DataFrame, queries: DataFrame, k: int, parts: int = 1) -> DataFrame:
     """qid, pid, score (6 places), rank: for each query (qid, vector) the k passages (pid, vector) of largest inner product.
 
+    With `parts`, passages say in `block` which part (from 0) they are of, and the k best of each part come, with block.
     Both sides are packed into blocks of rows; every query block meets every passage block by an equality join on the
     passage block's number, one matrix product and a partial top-k a pair, and the partial results are merged. No side is
     broadcast or gathered. Ties go to the smaller pid (as text).
     """
-    p, blocks = _packed(passages, "pid", BLOCK, "p")
+    p, blocks = _packed(passages, "pid", BLOCK, "p", F.col("block") if parts > 1 else None)
     q, _ = _packed(queries, "qid", 512, "q")
-    meet = p.join(q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block")
+    meet = p.join(q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks * parts - 1)))), "block")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,6 +49,7 @@ def topk(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 px, qx = (np.frombuffer(batch.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("p_x", pids), ("q_x", qids)))
                 scores = np.round(qx @ px.T, 6)
                 out: tuple[list, list, list] = ([], [], [])
+                part = batch.column("block")[i].as_py() // blocks
                 for qid, s in zip(qids, scores):
                     least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
                     take = np.flatnonzero(s >= least)
@@ -54,11 +57,12 @@ def topk(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     out[0].extend([qid] * len(take))
                     out[1].extend(pids[take])
                     out[2].extend(s[take])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["qid", "pid", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64()), pa.array([part] * len(out[0]), pa.int32())], names=["qid", "pid", "score", "block"])
 
-    hits = meet.select("p_keys", "p_x", "q_keys", "q_x").mapInArrow(best, "qid string, pid string, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    hits = meet.select("p_keys", "p_x", "q_keys", "q_x", "block").mapInArrow(best, "qid string, pid string, score double, block int")
+    order = Window.partitionBy("qid", "block").orderBy(F.desc("score"), "pid")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked if parts > 1 else ranked.drop("block")
 
 
 def merge_blocks(hits: DataFrame, k: int) -> DataFrame:
@@ -75,11 +79,6 @@ def dedupe(hits: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(cut))
 
 
-def blocks_of(rows: DataFrame, parts: int, order: str) -> DataFrame:
-    """block: near equal parts in order, the first ones a row longer."""
-    return rows.withColumn("block", F.ntile(parts).over(Window.orderBy(order)) - 1)
-
-
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     """One vector a key: the unweighted mean of its vectors, not made unit again."""
     flat = rows.select(key, F.posexplode("vector").alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))

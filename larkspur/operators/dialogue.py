@@ -121,8 +121,8 @@ SHOTS = {1: ["1-1"], 3: ["1-1", "1-2", "2-1"], 5: ["1-1", "1-2", "2-1", "2-2", "
 
 
 def random_numbers(topics: DataFrame, shots: int, seed: int) -> DataFrame:
-    """A repeatable sample of conversations without replacement."""
-    return topics.select("number").distinct().orderBy(F.xxhash64("number", F.lit(seed)), "number").limit(shots)
+    """A repeatable sample of conversations without replacement: those of the smallest digests of number and seed."""
+    return topics.select("number").distinct().orderBy(F.md5(F.concat("number", F.lit(f":{seed}")).cast("binary")), "number").limit(shots)
 
 
 def dataset_stats(topics: DataFrame, ids: DataFrame, collection: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def qrels_assessed_ids(spark, d):
     return I.assessed(spark, d)
 
 
-@query("qrels_binarize", f"WITH {S.JUDGED} SELECT qid, pid, CASE WHEN CAST(pid AS BIGINT) % 3 = 0 THEN rel ELSE rel END AS rel, CAST(hit AS BIGINT) AS hit FROM j")
+@query("qrels_binarize", f"WITH {S.JUDGED} SELECT qid, pid, rel, CAST(hit AS BIGINT) AS hit FROM j")
 def qrels_binarize(spark, d):
     out = readers.qrels(I.judgement_lines(spark, d))
     return out.select("qid", "pid", F.col("rel").cast("long").alias("rel"), F.col("hit").cast("long").alias("hit"))
@@ -72,11 +72,11 @@ def run_scan(spark, d):
     return readers.run(seven).select("qid", "pid", F.round("score", 6).alias("score"))
 
 
-@query("passage_scan_truncate", "SELECT CAST(doc_id AS VARCHAR) AS id, sha256(left(regexp_replace(text, '\\s+$', ''), 1000)) AS contents_sha FROM documents")
+@query("passage_scan_truncate", "SELECT CAST(doc_id AS VARCHAR) AS id, sha256(left(regexp_replace(text, '\\s+$', ''), 10000)) AS contents_sha FROM documents")
 def passage_scan_truncate(spark, d):
     lines = I.passages(spark, d).select(F.to_json(F.struct(F.col("pid").alias("id"), F.concat("text", F.lit(" \n")).alias("contents"))).alias("value"))
     lines = lines.unionByName(lines.limit(3).select(F.lit("").alias("value")))
-    out = readers.passages_json(lines, 1000)
+    out = readers.passages_json(lines)
     return out.select("id", F.sha2("contents", 256).alias("contents_sha"))
 
 
@@ -87,17 +87,17 @@ def passage_tsv_title(spark, d):
     return readers.passages_tsv(page.select(F.concat(F.col("page_id").cast("string"), F.lit("\t"), "url", tail).alias("value")), title=True)
 
 
-@query("token_record_lookup", """WITH x AS (SELECT CAST(item_id AS VARCHAR) AS pid, item_id AS "offset", list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM benchmark)
-SELECT pid, "offset", CAST(least(len(ids), 16) AS BIGINT) AS n_tokens, array_to_string(list_resize(ids[1:16], 16, 0), '|') AS token_ids FROM x WHERE "offset" % 7 = 3""")
+@query("token_record_lookup", """WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS pid, doc_id AS "offset", list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM documents)
+SELECT pid, "offset", CAST(least(len(ids), 16) AS BIGINT) AS n_tokens, array_to_string(list_resize(ids[1:16], 16, 0), '|') AS token_ids FROM x""")
 def token_record_lookup(spark, d):
     records = _records(spark, d, 16)
-    out = indexing.lookup_records(records, records.select("offset").filter("offset % 7 = 3"))
+    out = indexing.lookup_records(records, I.table(spark, d, "documents").select(F.col("doc_id").alias("offset")))
     return out.select("pid", "offset", F.col("n_tokens").cast("long").alias("n_tokens"), joined(F.col("token_ids")).alias("token_ids"))
 
 
 def _records(spark, d, length):
     ids = F.transform(text.tokenize(F.col("text")), lambda w: F.length(w))
-    rows = I.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("pid"), F.col("item_id").alias("offset"), ids.alias("ids"))
+    rows = I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pid"), F.col("doc_id").alias("offset"), ids.alias("ids"))
     return indexing.token_records(rows, length)
 
 
@@ -379,7 +379,7 @@ def fewshot_examples(spark, d):
     return dialogue.few_shot(I.topics(spark, d), ["1", "2", "7"]).select(F.col("position").cast("long").alias("position"), "text")
 
 
-@query("fewshot_random")
+@query("fewshot_random", "SELECT number FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS number FROM conversations) ORDER BY md5(number || ':42'), number LIMIT 5")
 def fewshot_random(spark, d):
     return dialogue.random_numbers(I.topics(spark, d), 5, 42)
 
@@ -387,9 +387,9 @@ def fewshot_random(spark, d):
 # --- retrieval ---
 
 
-@query("tokenize", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM benchmark")
+@query("tokenize", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM documents")
 def tokenize(spark, d):
-    return I.table(spark, d, "benchmark").select("item_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
+    return I.table(spark, d, "documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query("bm25_postings", f"WITH {S.BM25} SELECT pid, term, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM tf JOIN dls USING (pid)")
@@ -406,50 +406,45 @@ def bm25_term_stats(spark, d):
 
 @query("bm25_topk", f"WITH {S.BM25} SELECT qid, pid, score, rank FROM bm")
 def bm25_topk(spark, d):
-    return lexical.search(I.passages(spark, d), I.questions(spark, d), 100).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+    return lexical.search(I.passages(spark, d), I.questions(spark, d), 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("run_rank", f"WITH {S.BM25} SELECT qid || ' Q0 ' || pid || ' ' || CAST(rank AS VARCHAR) || ' ' || CAST(200 - rank AS VARCHAR) || ' bm25' AS line FROM bm")
 def run_rank(spark, d):
-    run = lexical.search(I.passages(spark, d), I.questions(spark, d), 100)
+    run = lexical.search(I.passages(spark, d), I.questions(spark, d), 1000)
     lines = writers.run_lines(run, "bm25", seven=True)
     return lines.select(F.regexp_replace("value", r" \S+ bm25$", " bm25").alias("line"))
 
 
-_DENSE = """vq AS (SELECT CAST(vec_id AS VARCHAR) AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 25 = 0),
+_DENSE = """vq AS (SELECT CAST(vec_id AS VARCHAR) AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
 vp AS (SELECT CAST(vec_id AS VARCHAR) AS pid, vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 dp AS (SELECT qid, pid, vec_id, round(list_dot_product(q, v), 6) AS score FROM vq, vp)"""
 
 
-@query("dense_topk", f"WITH {_DENSE} SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM dp) WHERE rank <= 50")
+@query("dense_topk", f"WITH {_DENSE} SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM dp) WHERE rank <= 1000")
 def dense_topk(spark, d):
-    return dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 50).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+    return dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("dense_topk_blocked", f"""WITH {_DENSE}, n AS (SELECT vec_id, ntile(4) OVER (ORDER BY vec_id) - 1 AS block FROM embeddings), hb AS (SELECT qid, pid, vec_id, block, score, row_number() OVER (PARTITION BY qid, block ORDER BY score DESC, pid) AS pos FROM dp JOIN n USING (vec_id)),
-hk AS (SELECT * FROM hb WHERE pos <= 20) SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block, pos) AS rank FROM hk) WHERE rank <= 20""")
+hk AS (SELECT * FROM hb WHERE pos <= 1000) SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block, pos) AS rank FROM hk) WHERE rank <= 1000""")
 def dense_topk_blocked(spark, d):
     numbered = indexing.row_index(I.vectors(spark, d), "vec_id")
-    blocks = indexing.array_split(numbered, 4)
-    hits = None
-    for b in range(4):
-        part = dense.topk(blocks.filter(F.col("block") == b), I.vector_queries(spark, d), 20).select("qid", F.lit(b).alias("block"), F.col("rank").alias("pos"), "pid", "score")
-        hits = part if hits is None else hits.unionByName(part)
-    return dense.merge_blocks(hits, 20).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+    hits = dense.topk(indexing.array_split(numbered, 4), I.vector_queries(spark, d), 1000, parts=4).withColumnRenamed("rank", "pos")
+    return dense.merge_blocks(hits, 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("dense_dedupe_rank", f"""WITH {_DENSE}, g AS (SELECT qid, CAST(vec_id % 100 AS VARCHAR) AS pid, score FROM dp), c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM g), o AS (SELECT qid, pid, max(score) AS score FROM c WHERE r <= 50 GROUP BY qid, pid)
+@query("dense_dedupe_rank", f"""WITH {_DENSE}, g AS (SELECT qid, CAST(vec_id % 100 AS VARCHAR) AS pid, score FROM dp), c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS r FROM g), o AS (SELECT qid, pid, max(score) AS score FROM c WHERE r <= 1000 GROUP BY qid, pid)
 SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM o""")
 def dense_dedupe_rank(spark, d):
-    hits = dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 1_000_000)
-    doubled = hits.select("qid", (F.col("pid").cast("long") % 100).cast("string").alias("pid"), "score")
-    return dense.dedupe(doubled, 50).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+    doubled = I.vectors(spark, d).withColumn("pid", (F.col("vec_id") % 100).cast("string"))
+    return dense.dedupe(dense.topk(doubled, I.vector_queries(spark, d), 1000), 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("query_mean_pool", """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id % 5 = 0), y AS (SELECT label, i, avg(v) AS v FROM x GROUP BY label, i)
+@query("query_mean_pool", """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), y AS (SELECT label, i, avg(v) AS v FROM x GROUP BY label, i)
 SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS i, round(v, 6) + 0.0 AS v FROM y""")
 def query_mean_pool(spark, d):
-    out = dense.mean_vectors(I.vectors(spark, d).filter("vec_id % 5 = 0"), "label")
+    out = dense.mean_vectors(I.vectors(spark, d), "label")
     return out.select(F.col("label").cast("long").alias("label"), F.posexplode("vector").alias("i", "v")).select("label", F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -461,10 +456,10 @@ def masked_mean(spark, d):
     return out.select("vec_id", (F.round(F.get("m", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("m", F.lit(1)), 6) + 0.0).alias("second"))
 
 
-@query("encode_hash", "SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n_tokens FROM benchmark")
+@query("encode_hash", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n_tokens FROM documents")
 def encode_hash(spark, d):
-    rows = I.table(spark, d, "benchmark").select("item_id", dense.hash_encode(F.col("text")).alias("v"))
-    return rows.select("item_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"))
+    rows = I.table(spark, d, "documents").select("doc_id", dense.hash_encode(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"))
 
 
 def _length_encoder():
@@ -498,31 +493,32 @@ def block_ntile(spark, d):
     return indexing.array_split(indexing.row_index(I.vectors(spark, d).select("vec_id"), "vec_id"), 7).select("vec_id", F.col("block").cast("long").alias("block"))
 
 
-_IDS = "x AS (SELECT item_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM benchmark)"
+_IDS = "x AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM documents)"
 
 
 def _lengths(spark, d):
-    return I.table(spark, d, "benchmark").select("item_id", F.transform(text.tokenize(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    return I.table(spark, d, "documents").select("doc_id", F.transform(text.tokenize(F.col("text")), lambda w: F.length(w)).alias("ids"))
 
 
-@query("pad_query_tokens", f"WITH {_IDS} SELECT item_id, array_to_string(list_resize(CASE WHEN len(ids) > 24 THEN ids[len(ids) - 23:] ELSE ids END, 24, 0), '|') AS ids FROM x")
+@query("pad_query_tokens", f"WITH {_IDS} SELECT doc_id, array_to_string(list_resize(CASE WHEN len(ids) > 24 THEN ids[len(ids) - 23:] ELSE ids END, 24, 0), '|') AS ids FROM x")
 def pad_query_tokens(spark, d):
-    return _lengths(spark, d).select("item_id", joined(text.pad_query(F.col("ids"), 24)).alias("ids"))
+    return _lengths(spark, d).select("doc_id", joined(text.pad_query(F.col("ids"), 24)).alias("ids"))
 
 
-@query("pad_passage_tokens", f"WITH {_IDS} SELECT item_id, array_to_string(list_resize(ids[1:24], 24, 0), '|') AS ids FROM x")
+@query("pad_passage_tokens", f"WITH {_IDS} SELECT doc_id, array_to_string(list_resize(ids[1:24], 24, 0), '|') AS ids FROM x")
 def pad_passage_tokens(spark, d):
-    return _lengths(spark, d).select("item_id", joined(text.pad_passage(F.col("ids"), 24)).alias("ids"))
+    return _lengths(spark, d).select("doc_id", joined(text.pad_passage(F.col("ids"), 24)).alias("ids"))
 
 
-@query("attention_mask", f"WITH {_IDS} SELECT item_id, repeat('1', least(len(ids), 24)) || repeat('0', 24 - least(len(ids), 24)) AS mask FROM x")
+@query("attention_mask", f"WITH {_IDS} SELECT doc_id, repeat('1', least(len(ids), 24)) || repeat('0', 24 - least(len(ids), 24)) AS mask FROM x")
 def attention_mask(spark, d):
-    return _lengths(spark, d).select("item_id", F.array_join(text.attention_mask(F.col("ids"), 24).cast("array<string>"), "").alias("mask"))
+    return _lengths(spark, d).select("doc_id", F.array_join(text.attention_mask(F.col("ids"), 24).cast("array<string>"), "").alias("mask"))
 
 
-@query("verify_width", "SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS n_wrong FROM benchmark")
+@query("verify_width", f"WITH {_IDS} SELECT count(*) AS n_records, count(*) FILTER (doc_id % 50 = 7 AND len(ids) <> 16) AS n_wrong FROM x")
 def verify_width(spark, d):
-    records = _records(spark, d, 16)
+    short = I.table(spark, d, "documents").select(F.col("doc_id").alias("offset"), F.transform(text.tokenize(F.col("text")), lambda w: F.length(w)).alias("ids")).filter("offset % 50 = 7")
+    records = _records(spark, d, 16).join(short, "offset", "left").withColumn("token_ids", F.coalesce("ids", "token_ids"))
     wrong = indexing.wrong_widths(records, 16).agg(F.count(F.lit(1)).alias("n_wrong"))
     return records.agg(F.count(F.lit(1)).alias("n_records")).select("n_records", wrong.select("n_wrong").scalar().alias("n_wrong"))
 
@@ -586,7 +582,7 @@ _metric_query("eval_ndcg_at_k", ("ndcg_cut_3", "ndcg_cut_5", "ndcg_cut_1000"))
 
 @query("eval_summary", f"WITH {S.BM25}, {S.JUDGED}, {S.metrics('bm')} {S.reported()}")
 def eval_summary(spark, d):
-    run = lexical.search(I.passages(spark, d), I.questions(spark, d), 100)
+    run = lexical.search(I.passages(spark, d), I.questions(spark, d), 1000)
     return evaluation.summary(evaluation.per_query(run, _judged(spark, d)))
 
 
@@ -633,10 +629,9 @@ def _rounded(rows):
     return rows.select(*[F.round(c, 6).alias(c) if c in ("min", "max", "mean", "std", "variance", "median") else F.col(c) for c in rows.columns])
 
 
-@query("agg_run_stats", f"WITH {S.run_values()} SELECT name, subset, metric, {_STATS} FROM vl WHERE name = 'method1' GROUP BY name, subset, metric")
+@query("agg_run_stats", f"WITH {S.run_values()} SELECT name, subset, metric, {_STATS} FROM vl GROUP BY name, subset, metric")
 def agg_run_stats(spark, d):
-    rows = I.run_values(spark).filter("name = 'method1'")
-    return _rounded(evaluation.run_statistics(evaluation.long_metrics(rows, "position", "name", "subset", "run"), "name", "subset", "metric"))
+    return _rounded(evaluation.run_statistics(evaluation.long_metrics(I.run_values(spark), "position", "name", "subset", "run"), "name", "subset", "metric"))
 
 
 @query("agg_run_grid", f"WITH {S.run_values()}, g AS (SELECT *, CASE WHEN position = 0 THEN subset || CASE WHEN run % 2 = 0 THEN '_baseline' ELSE '_always_ptkb' END ELSE subset END AS variant FROM vl) SELECT name, variant, metric, {_STATS}, count(*) AS runs FROM g GROUP BY name, variant, metric")

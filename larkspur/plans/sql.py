@@ -13,7 +13,7 @@ FACTS = """f AS (SELECT number, CAST(i AS VARCHAR) AS idx, CASE WHEN i = 3 THEN
 ANSWERS = """a AS (SELECT *, conv_id * 1000 + turn AS line_no, CASE turn % 5 WHEN 0 THEN 'Response: ' || resp || chr(10) || ' Queries:  ' || utt WHEN 1 THEN 'Rewrite: ' || utt || chr(10) || 'Response: ' || resp
   WHEN 2 THEN 'Provenance: 1, 2' || chr(10) || 'Rewrite: ' || utt || chr(10) || 'Response: ' || resp || ' ' WHEN 3 THEN 'Provenance: 3 Rewrite: ' || utt || ' Response: ' || resp ELSE 'None of it: ' || utt END AS answer FROM t)"""
 
-REWRITES = """w AS (SELECT *, CASE turn % 3 WHEN 0 THEN '1. ' || left(utt, 60) || '?' || chr(10) || '2. "' || left(utt, 60) || '"? more' WHEN 1 THEN left(utt, 60) || ', a, b, a,, c, d, e, f' ELSE left(utt, 60) END AS rewrite FROM t)"""
+REWRITES = """w AS (SELECT *, CASE turn % 3 WHEN 0 THEN '1. ' || utt || '?' || chr(10) || '2. "' || utt || '"? more' WHEN 1 THEN utt || ', a, b, a,, c, d, e, f' ELSE utt END AS rewrite FROM t)"""
 
 SELECTIONS = """s AS (SELECT *, CASE WHEN len(prov) = 0 THEN 'None' WHEN turn % 3 = 0 THEN '[' || CAST(prov[1] AS VARCHAR) || ', ' || CAST(prov[2] AS VARCHAR) || ']' WHEN turn % 3 = 1 THEN CAST(prov[1] AS VARCHAR) || ', ' || CAST(prov[2] AS VARCHAR) ELSE '$' || CAST(prov[1] AS VARCHAR) || ', $' || CAST(prov[2] AS VARCHAR) END AS chosen FROM t)"""
 
@@ -35,7 +35,7 @@ tf AS (SELECT pid, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FRO
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls),
 sc AS (SELECT qid, pid, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.82 * (1 - 0.68 + 0.68 * dl / avgdl))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dls USING (pid), st GROUP BY qid, pid),
-bm AS (SELECT * FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc) WHERE rank <= 100)"""
+bm AS (SELECT * FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc) WHERE rank <= 1000)"""
 
 
 def metrics(run: str, keys: str = "qid") -> str:

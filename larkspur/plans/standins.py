@@ -75,7 +75,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rewrite records: rewrite (some of them lists or questions), response."""
     t = turns(spark, sf_dir)
-    u = F.substring("cur_utt_text", 1, 60)
+    u = F.col("cur_utt_text")
     rewrite = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("1. "), u, F.lit('?\n2. "'), u, F.lit('"? more'))).when(F.col("pos") % 3 == 1, F.concat(u, F.lit(", a, b, a,, c, d, e, f"))).otherwise(u)
     return t.withColumn("rewrite_utt_text", rewrite).withColumn("response_utt_text", F.col("cur_response_text")).withColumn("fusion", F.concat_ws(" | ", "cur_utt_text", "sample_id"))
 
@@ -117,7 +117,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).filter("vec_id % 25 = 0").select(F.col("pid").alias("qid"), "vector")
+    return vectors(spark, sf_dir).filter("vec_id % 20 = 0").select(F.col("pid").alias("qid"), "vector")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
