@@ -111,18 +111,22 @@ DRAW = "array<struct<round:long,block:long,shard:int,from:long,words:long,shuffl
 
 
 def _placed(docs: DataFrame, shards: int, block_words: int, seed: int, most: float, tree) -> DataFrame:
-    """`docs` (boxed: doc_id, text, _row, with _source) with the plan's columns, size and `draws`."""
+    """`docs` (doc_id, text, _source, and _row if rows are to be carried) with the plan's columns, size and `draws`.
+
+    Without _row texts are read once, to count their words, and only the counts are ranked.
+    """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("_source").isNull(), F.lit("N")).otherwise(F.concat(F.lit("S"), F.col("_source").cast("string")))
     rows = docs.select("*", key.alias("key"), size.alias("size"), F.xxhash64("text").alias("tie"))
-    narrow = materialise(rows.select("doc_id", "key", "size", "tie"), "mix")
+    carried = "_row" in docs.columns
+    narrow = materialise(rows.select("doc_id", "key", "size", "tie", *([] if carried else ["_source"])), "mix")
     totals = {r["key"]: (r["words"], r["rows"]) for r in narrow.groupBy("key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()}
     names = sorted(totals, key=lambda k: (k == "N", k))
     sizes, n = [totals[k][0] for k in names], sum(n for _, n in totals.values())
     targets = water_fill(sizes, [i % 3 + 1 for i in range(len(names))], sum(sizes), most)
     table = spark.createDataFrame(plan([Source.of(*x, block_words) for x in zip(names, sizes, targets)], shards, seed, tree), PLAN)
-    placed = running(rows, ["key"], ["doc_id", "tie", "size"], n, "rank", "size", "before", narrow=narrow)
+    placed = running(rows if carried else narrow, ["key"], ["doc_id", "tie", "size"], n, "rank", "size", "before", narrow=narrow)
     joined = placed.join(F.broadcast(table) if len(names) <= BROADCAST_SOURCES else table, "key")
     shuffle = lambda *by: F.xxhash64(F.lit(seed), *by, F.col("key"), F.col("rank"))
     first = F.floor(F.col("before") / F.col("block"))

@@ -51,6 +51,30 @@ def test_stages(spark, sf_dir, documents):
     assert key(whole) == key(packed)
 
 
+def write_tables(docs, labels, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, none, sf_dir, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns; then no rows at all, and rows without labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = write_tables(odd, labels.limit(0), tmp_path / "odd")
+    docs = spark.read.parquet(f"{whole}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, whole)
+        assert docs.columns == odd.columns and docs.count() > 0, name
+        if name == "near-duplicates":
+            kept = sorted((r["doc_id"] for r in docs.collect()), key=str)
+            # 2 is a copy of 1, 4 and 5 have no words like 3, one of the two rows of 7 stays
+            assert kept == sorted([1, 3, 6, 7, 8, 9, None], key=str)
+    rows = corpus_pipeline.run(spark, whole).collect()
+    assert rows and {r["doc_id"] for r in rows} <= {1, 6, 7, 8, 9, None}
+    assert all(0 < r["length"] <= 2048 == packing.CAPACITY and len(r["ids"]) == r["length"] for r in rows)
+    assert corpus_pipeline.run(spark, write_tables(none, labels, tmp_path / "none")).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, sf_dir, name):
     assert rows_of(registry.QUERIES[name](spark, sf_dir)) == rows_of_sql(connect(sf_dir), registry.ORACLE_SQL[name])
