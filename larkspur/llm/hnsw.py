@@ -279,6 +279,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, breadth: int =
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id 20 divides, among all others; see `nearest`.
+
+    Null, zero and non-finite vectors, and rows without id, take no part; equal vectors are neighbours of each other; ties
+    go to the smaller id; further columns play no part; an empty table gives no rows.
+    """
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.filter("vec_id % 20 = 0"))
 

@@ -201,6 +201,10 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses and notices of all `documents`, a row for each row; see `scan`.
+
+    Null texts are empty and no license; repeated rows stay; further columns play no part; an empty table gives no rows.
+    """
     return scan(read_table(spark, sf_dir, "documents"), known(spark))
 
 

@@ -295,6 +295,11 @@ def tokenizer_path() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of at most 2048 tokens, a row for each piece; see `pieces` and `pack`.
+
+    A null or empty text is the end id alone; repeated rows are documents of their own; further columns play no part; an
+    empty table gives no rows.
+    """
     out = packed(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -147,6 +147,11 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all `documents`, a row for each row; see `near_duplicates`.
+
+    Null, empty and blank texts have fingerprint zero, which links like any other; repeated rows stay; further columns play
+    no part; an empty table gives no rows.
+    """
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
