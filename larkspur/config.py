@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import tomllib
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -26,9 +30,18 @@ class Settings:
     bm25_b: float = 0.68
 
 
-def load(path: str, year: str = "2023") -> Settings:
+def seed_all(seed: int) -> None:
+    """Seeds the driver's generators; operators take their seeds as arguments."""
+    random.seed(seed)
+    np.random.seed(seed % 2**32)
+
+
+def load(path: str, year: str = "2023", needed: Iterable[str] = ()) -> Settings:
+    """The file's settings; unknown names, and `needed` ones that it lacks, are errors."""
     with open(path, "rb") as file:
         given = tomllib.load(file)
     if unknown := set(given) - {f.name for f in fields(Settings)}:
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    if missing := set(needed) - set(given):
+        raise ValueError(f"missing settings: {', '.join(sorted(missing))}")
     return Settings(**{k: v.replace("{YEAR}", year) if isinstance(v, str) else v for k, v in given.items()})

@@ -105,6 +105,34 @@ def encode(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]
     return rows.withColumn("vector", run.asNondeterministic()(text))
 
 
+def query_texts(turns: DataFrame, split: bool = False) -> DataFrame:
+    """qid, text of rewrite records: the query, or with `split` a row for each of the rewrite's sub-queries.
+
+    Vectors of one qid are to be averaged (`mean_vectors`). A rewrite that has no sub-query stays whole.
+    """
+    from larkspur.functions.text import split_rewrite
+
+    rows = turns.select(F.coalesce("id", "sample_id").alias("qid"), F.coalesce("output", "rewrite_utt_text", "oracle_utt_text").alias("text")).filter("text is not null")
+    if not split:
+        return rows
+    parts = split_rewrite(F.col("text"))
+    return rows.select("qid", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("text"))
+
+
+def hash_encoder(width: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """A stand-in model for `encode`: lower-case words add 1 at the place that their crc32 gives."""
+    import zlib
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), width), np.float32)
+        for row, text in enumerate(texts):
+            for word in text.lower().split():
+                out[row, zlib.crc32(word.encode()) % width] += 1
+        return out
+
+    return run
+
+
 def hash_encode(text: Column, width: int = 8) -> Column:
     """A stand-in for an encoder: each token adds 1 at a place that its hash gives."""
     from larkspur.functions.text import tokenize

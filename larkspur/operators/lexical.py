@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import token_count, tokenize, words
@@ -37,10 +37,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _tokens(passages: DataFrame) -> DataFrame:
+    """pid, dl, toks: each text is cut into tokens once, and its length is theirs."""
+    return passages.select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.coalesce(F.size("toks"), F.lit(0)).alias("dl"), "toks")
+
+
 def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """pid, dl, term, tf; only of `terms` (term), if given: tokens are cut down to them before they are counted."""
-    # lengths are counted below the generator, once a passage
-    rows = passages.select("pid", token_count(F.col("text")).alias("dl"), tokenize(F.col("text")).alias("toks")).select("pid", "dl", F.explode("toks").alias("term"))
+    rows = _tokens(passages).select("pid", "dl", F.explode("toks").alias("term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -54,18 +58,50 @@ def term_statistics(found: DataFrame) -> DataFrame:
 def search(passages: DataFrame, queries: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
     """qid, pid, score (6 places), rank: the k best passages of each query that share a term; ties by pid.
 
-    Only query terms are counted in passages, and lengths come from the same scan; the query side is as small as the
-    optimizer finds it. The last step keeps k rows a query in each task before anything is shuffled by query.
+    Only query terms are counted in passages; the query side is as small as the optimizer finds it. The last step keeps
+    k rows a query in each task before anything is shuffled by query. For more than one search build an index.
     """
     wanted = query_terms(queries)
     found = postings(passages, wanted.select("term").distinct())
     size = passages.select(token_count(F.col("text")).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    n, avgdl = size["n"], size["avgdl"]
     # said with tf, so that both uses of the counts are one plan and read one exchange
     df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
+    return _ranked(found, wanted.join(df, "term"), size["n"], size["avgdl"], k, k1, b)
+
+
+def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float) -> DataFrame:
+    """The k best of postings (pid, dl, term, tf) for query terms (qid, term, qtf, df) in n passages of average length."""
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(df.select("term", idf.alias("idf")), "term")
+    weighted = wanted.select("qid", "term", "qtf", idf.alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = found.join(weighted, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def write_index(passages: DataFrame, path: str, buckets: int = 64) -> None:
+    """An index of all terms as Parquet: postings in folders by the term's bucket, sorted by term, document frequencies and sizes.
+
+    Postings are dealt by (bucket, pid), so that a term of most passages is no single task's.
+    """
+    spark = passages.sparkSession
+    found = postings(passages).withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt = found.repartition("bucket", F.pmod(F.xxhash64("pid"), F.lit(16))).sortWithinPartitions("bucket", "term", "pid")
+    dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings")
+    term_statistics(written).withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
+    sizes = passages.select(token_count(F.col("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    sizes.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
+    """What `search` returns, from a written index: only folders and row groups of the queries' terms are read."""
+    size = spark.read.parquet(f"{path}/sizes").first()
+    wanted = query_terms(queries).withColumn("bucket", _bucket(F.col("term"), size["buckets"]))
+    df = wanted.join(spark.read.parquet(f"{path}/terms"), ["bucket", "term"]).select("qid", "bucket", "term", "qtf", "df")
+    found = spark.read.parquet(f"{path}/postings").join(df.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").drop("bucket")
+    return _ranked(found, df, F.lit(size["n"]), F.lit(size["avgdl"]), k, k1, b)

@@ -392,16 +392,14 @@ def tokenize(spark, d):
     return I.table(spark, d, "documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query("bm25_postings", f"WITH {S.BM25} SELECT pid, term, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM tf JOIN dls USING (pid)")
+@query("bm25_postings", f"WITH {S.ALL_TERMS} SELECT pid, term, CAST(tf AS BIGINT) AS tf, CAST(dl AS BIGINT) AS dl FROM tf JOIN dls USING (pid)")
 def bm25_postings(spark, d):
-    terms = lexical.query_terms(I.questions(spark, d)).select("term").distinct()
-    return lexical.postings(I.passages(spark, d), terms).select("pid", "term", "tf", F.col("dl").cast("long").alias("dl"))
+    return lexical.postings(I.passages(spark, d)).select("pid", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
-@query("bm25_term_stats", f"WITH {S.BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
+@query("bm25_term_stats", f"WITH {S.ALL_TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
 def bm25_term_stats(spark, d):
-    terms = lexical.query_terms(I.questions(spark, d)).select("term").distinct()
-    return lexical.term_statistics(lexical.postings(I.passages(spark, d), terms))
+    return lexical.term_statistics(lexical.postings(I.passages(spark, d)))
 
 
 @query("bm25_topk", f"WITH {S.BM25} SELECT qid, pid, score, rank FROM bm")
@@ -531,6 +529,73 @@ def verify_mapping(spark, d):
     return indexing.mapping_faults(docs, moved)
 
 
+@query("width_probe", f"WITH {_IDS} SELECT count(*) FILTER (len(ids) <> 16) AS n_wrong FROM (SELECT * FROM x ORDER BY doc_id LIMIT 3)")
+def width_probe(spark, d):
+    records = I.table(spark, d, "documents").select(F.col("doc_id").alias("offset"), F.transform(text.tokenize(F.col("text")), lambda w: F.length(w)).alias("token_ids"))
+    return indexing.wrong_widths(records, 16, first=3).agg(F.count(F.lit(1)).alias("n_wrong"))
+
+
+@query("pid_field", "SELECT source, CAST(64 AS BIGINT) AS n_bytes, source AS pid FROM (SELECT source || ':' || CAST(doc_id AS VARCHAR) AS source FROM documents)")
+def pid_field(spark, d):
+    rows = I.table(spark, d, "documents").select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("source"))
+    field = indexing.pid_field(F.col("source"))
+    return rows.select("source", F.octet_length(field).cast("long").alias("n_bytes"), indexing.pid_of_field(field).alias("pid"))
+
+
+@query("query_records", "WITH x AS (SELECT CAST(item_id AS BIGINT) AS qid, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM benchmark) SELECT qid, CAST(least(len(ids), 24) AS BIGINT) AS n_tokens, array_to_string(list_resize(ids[1:24], 24, 0), '|') AS token_ids FROM x")
+def query_records(spark, d):
+    rows = I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.transform(text.tokenize(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    return indexing.query_records(rows, 24).select("qid", F.col("n_tokens").cast("long").alias("n_tokens"), joined(F.col("token_ids")).alias("token_ids"))
+
+
+@query("largest_block", "SELECT max(doc_id // 100) AS block FROM documents")
+def largest_block(spark, d):
+    names = I.table(spark, d, "documents").select(F.concat(F.lit("passage_emb_block_"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit(".pb")).alias("value"))
+    return indexing.largest_block(names)
+
+
+_PATHS = "SELECT conv_id, turn, 'data/' || CASE conv_id % 3 WHEN 0 THEN '2023/' WHEN 1 THEN '2024/' ELSE '' END || 'queries_' || CAST(conv_id AS VARCHAR) || '.jsonl' AS source FROM conversations"
+
+
+@query("run_paths", f"""WITH x AS ({_PATHS}) SELECT source, 'data/results/trec_files/' || CASE conv_id % 3 WHEN 0 THEN '2023/' WHEN 1 THEN '2024/' ELSE '' END || 'bm25_queries_' || CAST(conv_id AS VARCHAR) || '_qtype_concat_ttype_full_r1.trec' AS path, '_gpt' || CAST(turn AS VARCHAR) AS part FROM x""")
+def run_paths(spark, d):
+    year = F.when(F.col("conv_id") % 3 == 0, F.lit("2023/")).when(F.col("conv_id") % 3 == 1, F.lit("2024/")).otherwise(F.lit(""))
+    source = F.concat(F.lit("data/"), year, F.lit("queries_"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    rows = I.table(spark, d, "conversations").select("turn", source.alias("source"))
+    model = F.concat(F.lit("gpt"), F.col("turn").cast("string"), F.lit("/large"))
+    return rows.select("source", writers.run_path(F.col("source"), "bm25_", query_type="concat", test_type="full", tag="r1").alias("path"), writers.model_part(model, "default").alias("part"))
+
+
+@query("run_lines_dense", f"WITH {_DENSE} SELECT qid || ' Q0 ' || pid || ' ' || CAST(rank AS VARCHAR) || ' dense' AS line FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM dp) WHERE rank <= 100")
+def run_lines_dense(spark, d):
+    run = dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 100)
+    return writers.run_lines(run, "dense").select(F.regexp_replace("value", r" \S+ dense$", " dense").alias("line"))
+
+
+_RUNS = "SELECT 'topic' || CAST(conv_id AS VARCHAR) AS base, CAST(turn + 1 AS BIGINT) AS run FROM conversations"
+
+
+def _runs(spark, d):
+    return I.table(spark, d, "conversations").select(F.concat(F.lit("topic"), F.col("conv_id").cast("string")).alias("base"), (F.col("turn") + 1).cast("long").alias("run"))
+
+
+@query("next_run", f"WITH r AS ({_RUNS}), u AS (SELECT base, run FROM r UNION ALL SELECT DISTINCT base, 0 FROM r), g AS (SELECT base, run + 1 AS free FROM u WHERE (base, run + 1) NOT IN (SELECT (base, run) FROM r)) SELECT base, min(free) AS next_run FROM g GROUP BY base")
+def next_run(spark, d):
+    return writers.next_run(_runs(spark, d))
+
+
+@query("complete_runs", f"WITH r AS ({_RUNS}) SELECT base FROM r WHERE run BETWEEN 1 AND 3 GROUP BY base HAVING count(DISTINCT run) = 3")
+def complete_runs(spark, d):
+    return writers.complete_runs(_runs(spark, d), 3)
+
+
+@query("registry_upsert", "SELECT CAST(doc_id AS VARCHAR) AS filename, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS batch_id FROM documents")
+def registry_upsert(spark, d):
+    rows = I.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("filename"))
+    old, new = (x.select("filename", F.lit(v).alias("batch_id")) for x, v in ((rows, "old"), (rows.filter("doc_id % 3 = 0"), "new")))
+    return writers.upsert(old, new)
+
+
 @query("union_collection", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents UNION ALL SELECT CAST(item_id AS VARCHAR) FROM benchmark")
 def union_collection(spark, d):
     return I.passages(spark, d).select(F.col("pid").alias("id")).unionAll(I.questions(spark, d).select("qid"))

@@ -37,6 +37,10 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls),
 sc AS (SELECT qid, pid, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.82 * (1 - 0.68 + 0.68 * dl / avgdl))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dls USING (pid), st GROUP BY qid, pid),
 bm AS (SELECT * FROM (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM sc) WHERE rank <= 1000)"""
 
+ALL_TERMS = """toks AS (SELECT CAST(doc_id AS VARCHAR) AS pid, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents),
+dls AS (SELECT pid, count(*) AS dl FROM toks GROUP BY pid),
+tf AS (SELECT pid, term, count(*) AS tf FROM toks GROUP BY ALL)"""
+
 
 def metrics(run: str, keys: str = "qid") -> str:
     """CTE m: per-query metrics of the run named, by j."""

@@ -20,6 +20,32 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def split_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """split (from 0), line_no, value of several files as one stream: by split, then by line_no."""
+    parts = [numbered_lines(spark, p).select(F.lit(i).alias("split"), "line_no", "value") for i, p in enumerate(paths)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def offset_map(spark: SparkSession, path: str) -> DataFrame:
+    """offset, pid of a collection written as Parquet: only these two columns are read."""
+    return spark.read.parquet(path).select("offset", "pid")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256 of whole files (each is read into one task's memory; files of more than 2 GB are an error)."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def wrong_digests(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, fault of expected (name, sha256) files that are missing or differ, by the last part of found paths."""
+    named = found.select(F.substring_index("path", "/", -1).alias("name"), F.col("sha256").alias("_found"))
+    fault = F.when(F.col("_found").isNull(), F.lit("missing")).when(F.col("_found") != F.lower("sha256"), F.lit("differs"))
+    return expected.join(named, "name", "left").select("name", fault.alias("fault")).filter("fault is not null")
+
+
 def json_rows(lines: DataFrame, schema: str) -> DataFrame:
     """Rows of JSON lines (column value, maybe line_no); lines that are not JSON objects, and blank ones, are skipped."""
     rows = lines.withColumn("_row", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,24 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").json(path)
 
 
+def run_path(source: Column | str, kind: str = "", split: bool = False, query_type: str | None = None, test_type: str | None = None, tag: str | None = None, folder: str = "data/results/trec_files", years: tuple[str, ...] = ("2023", "2024")) -> Column:
+    """Where the run of a query file belongs: kind, the file's name without .jsonl, its options and tag; in a year's
+    folder if the file's path names the year (the first of `years` that it names)."""
+    source = F.lit(source) if isinstance(source, str) else source
+    parts = ["_split"] * split + [f"_qtype_{query_type}"] * (query_type is not None) + [f"_ttype_{test_type}"] * (test_type is not None) + [f"_{tag}"] * bool(tag)
+    name = F.concat(F.lit(kind), F.replace(F.substring_index(source, "/", -1), F.lit(".jsonl"), F.lit("")), F.lit("".join(parts) + ".trec"))
+    place = F.lit(folder + "/")
+    for year in reversed(years):
+        place = F.when(F.contains(source, F.lit(year)), F.lit(f"{folder}/{year}/")).otherwise(place)
+    return F.concat(place, name)
+
+
+def model_part(model: Column | str, default: str) -> Column:
+    """What a model adds to a file's name: nothing if it is the default one, else its name up to the first slash."""
+    model = F.lit(model) if isinstance(model, str) else model
+    return F.when(model == default, F.lit("")).otherwise(F.concat(F.lit("_"), F.substring_index(model, "/", 1)))
+
+
 def upsert(registry: DataFrame, new: DataFrame, key: str = "filename") -> DataFrame:
     """`registry` with rows of `new` in place of those with equal keys."""
     return registry.join(new.select(key), key, "left_anti").unionByName(new)
