@@ -137,5 +137,5 @@ def hash_encode(text: Column, width: int = 8) -> Column:
     """A stand-in for an encoder: each token adds 1 at a place that its hash gives."""
     from larkspur.functions.text import tokenize
 
-    places = F.transform(tokenize(text), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(width)).cast("int"))
+    places = F.transform(tokenize(text), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % width).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))

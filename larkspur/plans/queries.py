@@ -454,10 +454,10 @@ def masked_mean(spark, d):
     return out.select("vec_id", (F.round(F.get("m", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("m", F.lit(1)), 6) + 0.0).alias("second"))
 
 
-@query("encode_hash", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n_tokens FROM documents")
+@query("encode_hash", """WITH x AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 8) AS places FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(8), lambda i: len(list_filter(places, lambda p: p = i))), '|') AS v FROM x""")
 def encode_hash(spark, d):
-    rows = I.table(spark, d, "documents").select("doc_id", dense.hash_encode(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"))
+    return I.table(spark, d, "documents").select("doc_id", joined(dense.hash_encode(F.col("text")).cast("array<long>")).alias("v"))
 
 
 def _length_encoder():
