@@ -51,6 +51,12 @@ DEPTHS = 5
 SPLIT = "node int, dim int, low double, high double, " + ", ".join(f"cut{i} int" for i in range(DEPTHS)) + ", left int, right int"
 
 
+def _digits(same: int) -> list[int]:
+    """The bins of the depths that go by the text's hash."""
+    width = int(math.log2(BINS))
+    return [same >> 63 - width * (i + 1) & BINS - 1 for i in range(DEPTHS - 2)]
+
+
 def _with_bins(at: DataFrame, splits: list[dict]) -> DataFrame:
     """Rows of the nodes to split, with their splits (a table of one row a node, at most as many as shards) and three bins."""
     table = at.sparkSession.createDataFrame([tuple(s[c.split()[0]] for c in SPLIT.split(", ")) for s in splits], SPLIT)
@@ -67,8 +73,9 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
     A node that has to give k leaves sends k // 2 / k of its bytes to the left along its widest dimension, whose spread
     is the weighted standard deviation over that of the whole table. The median's place is found by histograms of BINS
     bins, each inside the bin of the one before that holds the median: of the coordinate, then of 36 bits of the text's
-    hash, so that equal texts are a unit. That unit goes to the nearer side as a whole; only if it weighs more than
-    `whole` of a leaf, a last histogram, of the rows' own hashes, splits it. Driver: nodes and bins, whatever the rows.
+    hash, so that equal texts are a unit. A bin that holds one text alone needs no further histogram. That unit goes to
+    the nearer side as a whole; only if it weighs more than `whole` of a leaf, a last histogram, of the rows' own hashes,
+    splits it. Driver: nodes and bins, whatever the rows.
     """
     frontier, base, next_id = [(0, 0, leaves)], None, 1  # node, first leaf, leaves
     at = points
@@ -85,22 +92,29 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
             r, k = found.get(node), n // 2
             if r:
                 dim = max(range(len(DIMENSIONS)), key=lambda i: (round(spread(r, i) / base[i], 5), -i))  # sums of doubles differ by order
-                splits.append({"node": node, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "want": r["w"] * k / n, "leaf": r["w"] / n, "done": 0, "left": next_id, "right": next_id + 1} | {f"cut{i}": 0 for i in range(DEPTHS)})
+                splits.append({"node": node, "dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "want": r["w"] * k / n, "leaf": r["w"] / n, "done": 0, "next": 0, "left": next_id, "right": next_id + 1} | {f"cut{i}": 0 for i in range(DEPTHS)})
             after += [(next_id, first, k), (next_id + 1, first + k, n - k)]
             next_id += 2
         searched = splits
         for depth in range(DEPTHS):
-            rows = _with_bins(at, searched).filter(" and ".join(["dim is not null", *(f"bin{i} = cut{i}" for i in range(depth))])) if searched else None
+            now = [s for s in searched if depth >= s["next"]]
+            if not now:
+                continue
+            rows = _with_bins(at, now).filter(" and ".join(["dim is not null", *(f"bin{i} = cut{i}" for i in range(depth))]))
             sums: dict[int, list] = {}
-            for r in rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w")).collect() if searched else []:
-                sums.setdefault(r["node"], []).append((r["bin"], r["w"]))
-            split_further = []
-            for s in searched:
-                cut, s["done"], weight = _median(sorted(sums[s["node"]]), s["want"], s["done"])
-                last = depth == DEPTHS - 1 or depth == DEPTHS - 2 and weight <= whole * s["leaf"]
-                s[f"cut{depth}"] = cut + (last and s["done"] + weight - s["want"] < s["want"] - s["done"])
-                split_further += [] if last else [s]
-            searched = split_further
+            for r in rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w"), F.min("same").alias("low"), F.max("same").alias("high")).collect():
+                sums.setdefault(r["node"], []).append((r["bin"], r["w"], r["low"] if r["low"] == r["high"] else None))
+            for s in now:
+                cut, s["done"], weight, only = _median(sorted(sums[s["node"]], key=lambda b: b[0]), s["want"], s["done"])
+                s[f"cut{depth}"], at_depth = cut, depth
+                if only is not None and depth < DEPTHS - 2:
+                    at_depth = DEPTHS - 2
+                    s |= {f"cut{1 + i}": d for i, d in enumerate(_digits(only)) if 1 + i > depth}
+                s["next"] = at_depth + 1
+                last = at_depth == DEPTHS - 1 or at_depth == DEPTHS - 2 and weight <= whole * s["leaf"]
+                s[f"cut{at_depth}"] += last and s["done"] + weight - s["want"] < s["want"] - s["done"]
+                s["next"] = DEPTHS if last else s["next"]
+            searched = [s for s in searched if s["next"] < DEPTHS]
         left = F.lit(False)
         for i in reversed(range(DEPTHS)):
             left = (F.col(f"bin{i}") < F.col(f"cut{i}")) | ((F.col(f"bin{i}") == F.col(f"cut{i}")) & left)
@@ -112,13 +126,13 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
     return at.join(F.broadcast(leaf), "node").drop("node")
 
 
-def _median(bins: list[tuple[int, int]], want: float, done: float) -> tuple[int, float, int]:
-    """The bin in which the weight reaches `want`, what lies before it, and its weight."""
-    for b, w in bins:
+def _median(bins: list[tuple[int, int, int | None]], want: float, done: float) -> tuple[int, float, int, int | None]:
+    """The bin in which the weight reaches `want`, what lies before it, its weight, and its text's hash if it has one only."""
+    for b, w, only in bins:
         if done + w >= want:
-            return b, done, w
+            return b, done, w, only
         done += w
-    return bins[-1][0] + 1, done, 0
+    return bins[-1][0] + 1, done, 0, None
 
 
 def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None) -> DataFrame:
