@@ -266,10 +266,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, breadth: int =
 
     def block(table: pa.Table) -> pa.Table:
         x = np.stack(table.column("vector").to_numpy()).astype(np.float64)
-        return pa.table({"keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), "queries": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "keys": pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), "queries": pa.array([x.tobytes()], pa.binary())})
 
-    packed = distinct.withColumn("block", hash_bits(F.col("key"), F.lit(1)) % blocks).groupBy("block").applyInArrow(block, "keys array<string>, queries binary")
-    meet = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(F.col("shard"), F.size("keys"))
+    packed = distinct.withColumn("block", hash_bits(F.col("key"), F.lit(1)) % blocks).groupBy("block").applyInArrow(block, "block long, keys array<string>, queries binary")
+    meet = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("shard", "block")
     hits = meet.mapInArrow(_search(folder, k + 1, max(breadth, k + 1)), "key string, vec_id long, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     merged = hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
