@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,7 +137,8 @@ def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int
     """Fillings (size index -> times) and how often to use each; together they hold exactly `need` of each size.
 
     Solves the configuration programme (fewest fillings that cover the need) by the simplex method with columns generated
-    by `_price`, cuts the uses down to whole numbers and fills what is left by the fullest filling that it allows.
+    by `_price`, cuts the uses down to whole numbers and fills what is left by the fullest filling that it allows. If
+    `rounds` do not suffice the fillings found so far are used, and a warning says how far from the least they may be.
     """
     m, left, out = len(sizes), list(need), Counter()
     if m:
@@ -157,6 +159,10 @@ def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int
             others = np.arange(m) != r
             inverse[others] -= np.outer(step[others], inverse[r])
             columns[r] = fill
+        else:
+            value, _ = _price(sizes, np.maximum(inverse.sum(axis=0), 0.0), [capacity // s for s in sizes], capacity)
+            if value > 1 + 1e-7:
+                warnings.warn(f"packing: {rounds} rounds did not reach the least number of fillings; up to {value - 1:.2%} above", stacklevel=2)
         for fill, uses in zip(columns, inverse @ np.array(need, dtype=float)):
             times = min([int(uses + 1e-6), *(left[i] // k for i, k in fill.items())])
             if times > 0:

@@ -90,3 +90,13 @@ def test_odd_rows(odd, none, tokenizer):
         load[r["sequence_id"]] += r["length"]
     assert max(load.values()) <= 64
     assert packing.packed(none, packing.tokenizer_path()).count() == 0
+
+
+def test_too_few_rounds_are_said(recwarn):
+    sizes, need = [700, 600, 500, 400, 300], [7, 11, 13, 17, 19]
+    held = lambda plan: [sum(fill.get(i, 0) * uses for fill, uses in plan) for i in range(len(sizes))]
+    whole = packing.configurations(sizes, need, 2048)
+    assert not recwarn.list and held(whole) == need
+    with pytest.warns(UserWarning, match="did not reach"):
+        cut = packing.configurations(sizes, need, 2048, rounds=0)
+    assert held(cut) == need and sum(u for _, u in cut) >= sum(u for _, u in whole)
