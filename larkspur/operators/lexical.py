@@ -34,7 +34,8 @@ def build_queries(turns: DataFrame, kind: str, repeats: int = 1, c: float = 1.0)
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, term, qtf"""
-    return queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    rows = queries.select("qid", F.explode_outer(tokenize(F.col("query"))).alias("term")).filter("term is not null")
+    return rows.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def _tokens(passages: DataFrame) -> DataFrame:
@@ -43,8 +44,13 @@ def _tokens(passages: DataFrame) -> DataFrame:
 
 
 def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """pid, dl, term, tf; only of `terms` (term), if given: tokens are cut down to them before they are counted."""
-    rows = _tokens(passages).select("pid", "dl", F.explode("toks").alias("term"))
+    """pid, dl, term, tf; only of `terms` (term), if given: tokens are cut down to them before they are counted.
+
+    With `terms` the counts are what is shuffled; without, whole texts are dealt by pid first, as they are smaller than
+    their counts, which then need no further exchange.
+    """
+    # an inner explode would be given a filter that tokenises every text twice more below the generator
+    rows = _tokens(passages if terms is not None else passages.repartition("pid")).select("pid", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
