@@ -173,8 +173,13 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(out, F.lit("©"), F.lit(" ")), _OTHER, " "))
 
 
+def _hash(value: Column) -> Column:
+    """Never null, so that no join on it adds a filter that computes it once more."""
+    return F.coalesce(F.sha2(value, 256), F.lit(""))
+
+
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    return _hash(canonical(text).cast("binary"))
 
 
 def known(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = TEXTS + NOTICES) -> DataFrame:
@@ -193,10 +198,10 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
-    lines = texts.select(F.sha2("text", 256).alias("blob"), F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    lines = texts.select(_hash(F.col("text")).alias("blob"), F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
     hits = lines.select("blob", digest(F.col("line")).alias("digest")).join(F.broadcast(licenses), "digest")
     found = hits.groupBy("blob").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = texts.select("doc_id", F.sha2("text", 256).alias("blob"), digest(F.col("text")).alias("digest")).join(F.broadcast(licenses), "digest", "left")
+    whole = texts.select("doc_id", _hash(F.col("text")).alias("blob"), digest(F.col("text")).alias("digest")).join(F.broadcast(licenses), "digest", "left")
     return whole.join(found, "blob", "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
