@@ -198,3 +198,14 @@ def test_tokenizer_file(spark):
     rows = spark.createDataFrame([("a b c d",), (None,)], "text string")
     ids = rows.select(indexing.token_ids(F.col("text"), indexing.file_tokenizer(public.path("byte_bpe_50k.json"), 2)).alias("ids")).collect()
     assert [len(r["ids"]) for r in ids] == [2, 0]
+
+
+def test_postings_with_and_without_terms_are_alike_and_tokenise_once(spark):
+    docs = spark.createDataFrame([("a", "One two, one"), ("b", ""), ("c", None), ("d", "... !"), ("e", "Two")], "pid string, text string")
+    every = lexical.postings(docs)
+    some = lexical.postings(docs, every.select("term").distinct())
+    told = [("a", 3, "one", 2), ("a", 3, "two", 1), ("e", 1, "two", 1)]
+    for found in (every, some):
+        assert sorted((r["pid"], r["dl"], r["term"], r["tf"]) for r in found.collect()) == told
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
