@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import warnings
 import zlib
 from collections import Counter, defaultdict
@@ -23,7 +24,8 @@ class Encoder:
     """A tokenizers file applied to whole texts.
 
     A byte-level BPE whose ids stand in the order of its merges is run by its ranks, which gives the same ids several
-    times faster; other files, and texts that hold an added token, go through the tokenizer itself.
+    times faster; other files, and texts that hold an added token or very long white space, go through the tokenizer
+    itself.
     """
 
     #: The split of byte-level BPE; a fixed value.
@@ -54,8 +56,16 @@ class Encoder:
         others = (b for b in range(256) if b not in plain)
         return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
-    def __call__(self, text: str) -> list[int]:
+    #: Characters of white space in a row beyond which the ranks' expressions give up.
+    BLANKS = 100_000
+
+    def _plain(self, text: str) -> bool:
         if self.ranks is None or any(t in text for t in self.added):
+            return False
+        return len(text) <= self.BLANKS or all(m.end() - m.start() <= self.BLANKS for m in re.finditer(r"\s+", text))
+
+    def __call__(self, text: str) -> list[int]:
+        if not self._plain(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.ranks.encode_ordinary(text)
 

@@ -100,3 +100,9 @@ def test_too_few_rounds_are_said(recwarn):
     with pytest.warns(UserWarning, match="did not reach"):
         cut = packing.configurations(sizes, need, 2048, rounds=0)
     assert held(cut) == need and sum(u for _, u in cut) >= sum(u for _, u in whole)
+
+
+def test_long_white_space_goes_through_the_tokenizer_itself():
+    encode = packing.encoder(packing.tokenizer_path())
+    for text in ("a" + " " * 2_000_000 + "b", "\n" * 150_000 + "x", "\u3000" * 120_000, " \t" * 49_999 + " x"):
+        assert encode(text) == encode.tokenizer.encode(text, add_special_tokens=False).ids
