@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import boxed, materialise, read_table, small_batches, unboxed
@@ -120,6 +120,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: no fixed point")
 
 
+def _grouped(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, root, component_id of every fingerprint of `marked` (doc_id, fp): its component and the smallest doc_id there."""
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    pairs = components(links(distinct.select("fp"), distance))
+    rooted = distinct.join(pairs.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of at most `distance` bits) for every row.
 
@@ -127,23 +136,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     doc_ids never are the smallest unless a component has no other, which then is null. Empty tables give no rows.
     """
     marked = materialise(fingerprints(docs, words, seed), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    pairs = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(pairs.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_grouped(marked, distance), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The row of `docs` whose doc_id is the smallest of its component; of rows alike in doc_id and text one stays.
+def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    """One row of `docs` of each component: that of the smallest doc_id, and of several with that id one text's.
 
-    Rows without doc_id stay.
+    Rows are told apart by doc_id and text, so an id that comes again with another text stands for that text alone; of
+    rows alike in both one stays. Rows without doc_id all stay, and take no other row's place.
     """
-    kept = near_duplicates(docs, **params).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = boxed(docs)
-    one = rows.join(kept, "doc_id", "left_semi").withColumn("_tie", F.xxhash64("text"))
-    once = one.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("_tie"))).filter("_nth = 1")
-    return unboxed(once.select(*rows.columns).unionByName(rows.filter("doc_id is null")), docs.columns)
+    rows = boxed(docs).withColumn("_tie", F.xxhash64("text"))
+    known = rows.filter("doc_id is not null")
+    named = known.select(F.struct("doc_id", "_tie").alias("doc_id"), "text")
+    marked = materialise(fingerprints(named, words, seed), "fingerprints")
+    kept = marked.join(_grouped(marked, distance), "fp").groupBy("root").agg(F.min("doc_id").alias("kept")).select("kept.*")
+    once = known.join(kept, ["doc_id", "_tie"], "left_semi").dropDuplicates(["doc_id", "_tie"])
+    return unboxed(once.unionByName(rows.filter("doc_id is null")), docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

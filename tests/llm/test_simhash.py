@@ -70,3 +70,13 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "6", "7", "8", "9", "None"]
     assert kept.filter(F.col("doc_id") == 7).count() == 1
+
+
+def test_an_id_that_comes_again_with_another_text(spark):
+    a, b = "one two three four five six seven", "quite another text that shares no words with it"
+    rows = lambda docs: sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect())
+    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    assert rows(make((1, a), (2, b), (2, a))) == [(1, a), (2, b)]
+    assert rows(make((1, a), (1, b), (1, a), (2, b))) == [(1, a), (1, b)]
+    assert rows(make((2, a), (2, a), (2, a + " "), (3, a))) in ([(2, a)], [(2, a + " ")])
+    assert len(simhash.one_of_each(make((None, a), (None, a), (5, a))).collect()) == 3
