@@ -21,6 +21,32 @@ SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, op) -> Column:
+    """For each of an array of ints `op` (sum, maximum) over all before it, 0 for the first.
+
+    A step copies what it has so far, so the array goes in chunks of about the root of its length: n values cost n times
+    that root, not n times n.
+    """
+
+    def fold(part):
+        step = lambda acc, v: F.struct(op(acc["all"], v).alias("all"), F.concat(acc["each"], F.array(acc["all"])).alias("each"))
+        return F.aggregate(part, F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("each")), step)
+
+    def chunked(values):
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values)))).cast("int")
+        count = F.ceil(F.size(values) / size).cast("int")
+        chunks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda c: fold(F.slice(values, (c - 1) * size + 1, size)))
+        shifted = lambda chunks: F.zip_with(chunks, fold(F.transform(chunks, lambda c: c["all"]))["each"], lambda c, base: F.transform(c["each"], lambda x: op(x, base)))
+        return _let(chunks, lambda c: F.flatten(shifted(c)))
+
+    return _let(values, chunked)
+
+
 def _matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """All matches of one rule, left to right, as spans in code points.
 
@@ -30,14 +56,16 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int, leas
     clean = F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")
     pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]")
 
-    def step(acc, piece):
-        size = F.length(piece)
-        counts = F.length(F.regexp_extract(piece, pattern, group)) >= least
-        span = F.array(F.struct(acc["at"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (acc["at"] + size).alias("end")))
-        return F.struct((acc["at"] + size).alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & counts, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(pieces):
+        at = _before(F.transform(pieces, lambda p: F.length(p)), lambda a, b: a + b)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("spans"))
-    return F.when(F.rlike(clean, F.lit(pattern)), F.aggregate(pieces, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+        def span(piece, i):
+            counts = (i % 2 == 1) & (F.length(F.regexp_extract(piece["p"], pattern, group)) >= least)
+            return F.when(counts, F.struct(piece["at"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (piece["at"] + F.length(piece["p"])).alias("end")))
+
+        return F.filter(F.transform(F.zip_with(pieces, at, lambda p, a: F.struct(p.alias("p"), a.alias("at"))), span), lambda s: s.isNotNull())
+
+    return F.when(F.rlike(clean, F.lit(pattern)), _let(pieces, spans)).otherwise(F.array().cast(SPAN))
 
 
 def find(text: Column) -> Column:
@@ -108,14 +136,21 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """
     rows = boxed(docs)
     found = findings(rows, scan(rows))
-    text = F.col("text")
+    text, block = F.col("text"), 1024
+
+    def between(blocks, start, end):
+        """Code points from start to end, out of the blocks that hold them: the text is not walked from its beginning."""
+        first = F.floor(start / block).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, F.ceil(end / block).cast("int") - first + 1), "")
+        return F.substring(part, start - first * block + 1, end - start)
 
-    def cut(acc, s):
-        before = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+    def cut(blocks):
+        ends = F.transform("spans", lambda s: s["end"])
+        taken = lambda s, before: F.when(s["start"] >= before, F.concat(between(blocks, before, s["start"]), F.lit(mark))).otherwise(F.lit(""))
+        kept = F.zip_with("spans", _before(ends, F.greatest), taken)
+        return F.concat(F.array_join(kept, ""), between(blocks, F.array_max(ends), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)
     out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
     changed = {"n_chars": F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {}
     return unboxed(out, docs.columns, **changed)

@@ -70,3 +70,24 @@ def test_ledger_table(spark, odd, none, tmp_path):
 
 def test_the_version_follows_the_rules():
     assert secrets.RULE_VERSION == hashlib.sha256(repr(secrets.RULES).encode()).hexdigest()[:16]
+
+
+def test_many_secrets_in_one_text_take_seconds(spark):
+    import time
+
+    text = "".join(f"é{i} token=abcdef{i:06d} " for i in range(100_000))
+    rows = spark.createDataFrame([(1, text), (2, "secret=abcdefgh")], "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: r["s"] for r in secrets.findings(rows, secrets.scan(rows)).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert found[1] == plain(text) and found[2] == "assign:0:15"
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert clean == {1: "".join(f"é{i} [secret] " for i in range(100_000)), 2: "[secret]"}
+    assert time.time() - began < 60
+
+
+def test_prefixes(spark):
+    rows = spark.createDataFrame([([],), ([3],), (list(range(1, 400)),), ([5, 1, 9, 2] * 40,)], "v array<int>")
+    got = rows.select("v", secrets._before(F.col("v"), lambda a, b: a + b).alias("sums"), secrets._before(F.col("v"), F.greatest).alias("tops")).collect()
+    for r in got:
+        assert r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
+        assert r["tops"] == [max([0, *r["v"][:i]]) for i in range(len(r["v"]))]
