@@ -14,7 +14,15 @@ RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),  # of AKIA[A-Z0-9]+ only matches of 20 or more count: runs are maximal
     ("hex", r"[0-9a-f]{24,}", 0, 24),
+    # beyond the base kinds: formats that give themselves away (fixed values)
+    ("host_token", r"(gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,})", 0, 40),
+    ("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    ("signed_token", r"eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 20),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 40),
+    ("url_password", r"(https?|s?ftp|ssh|smtps?|ldaps?|mysql|postgres|postgresql|mongodb|rediss?|amqps?)://[^/\s:@?#]+:[^/\s@?#]+@", 0, 8),
 )
+#: The kinds whose spans are counted and digested as the base.
+BASE = ("assign", "access", "hex")
 #: Changes with any rule, so that findings of an edited rule are never those of the old one.
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
@@ -159,6 +167,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all `documents`, a row for each row, by a ledger that is filled in two deliveries.
 
+    Counts and base_sha256 are of the base kinds, spans has those of all rules.
+
     First comes about a half of the rows, then the whole table, of which only blobs that the first did not hold are
     scanned; all rows then read the ledger. Null texts are empty; a null doc_id is a row as any other; repeated rows stay;
     further columns play no part; an empty table gives no rows.
@@ -167,7 +177,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = docs.filter(hash_bits(F.col("doc_id"), F.lit("delivery")) < F.lit(1 << 62))
     found = Ledger(spark, scratch_path(spark, "ledger")).update(early).update(docs).findings(docs)
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *map(n, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def _sql() -> str:
@@ -179,10 +190,12 @@ def _sql() -> str:
         parts.append(f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, spot, spot + len(m) AS upto FROM (
   SELECT doc_id, m[i] AS m, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS spot
   FROM (SELECT doc_id, regexp_extract_all(text, {r}) AS m, regexp_split_to_array(text, {r}) AS p FROM d), unnest(range(1, len(m) + 1)) AS u(i)) WHERE len(regexp_extract(m, {r}, {group})) >= {least}""")
-    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)
+    base = ", ".join(f"'{kind}'" for kind in BASE)
+    listed = lambda only: f"string_agg(kind || ':' || spot || ':' || upto, ',' ORDER BY spot, o){only}"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({" UNION ALL ".join(parts)}),
-g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || spot || ':' || upto, ',' ORDER BY spot, o) AS spans FROM f GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+g AS (SELECT doc_id, {counts}, {listed(f" FILTER (kind IN ({base}))")} AS base, {listed("")} AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
 QUERIES = {"op5_secrets": op5_secrets}

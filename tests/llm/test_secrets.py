@@ -9,18 +9,31 @@ from tests.llm.conftest import ROWS
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
-def plain(text):
+MORE = [
+    r"gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}",
+    r"xox[abeoprs]-[A-Za-z0-9-]{10,}",
+    r"eyJ[\w-]{10,1000}\.[\w-]{10,}\.[\w-]+",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----",
+    r"(?:https?|s?ftp|ssh|smtps?|ldaps?|mysql|postgres|postgresql|mongodb|rediss?|amqps?)://[^/\s:@?#]+:[^/\s@?#]+@",
+]
+KINDS = ["host_token", "chat_token", "signed_token", "private_key", "url_password"]
+
+
+def plain(text, more=True):
     text = text or ""
     spans = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    if more:
+        spans += [(m.start(), 3 + i, k, m.end()) for i, (k, p) in enumerate(zip(KINDS, MORE)) for m in re.finditer(p, text, re.A)]
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
 
 
 def test_documents(spark, sf_dir, documents):
     expected = {r["doc_id"]: plain(r["text"]) for r in documents.collect()}
+    base = {r["doc_id"]: plain(r["text"], False) for r in documents.collect()}
     for r in secrets.op5_secrets(spark, sf_dir).collect():
-        assert r["spans"] == expected[r["doc_id"]] and r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
+        assert r["spans"] == expected[r["doc_id"]] and r["base_sha256"] == hashlib.sha256(base[r["doc_id"]].encode()).hexdigest()
 
 
 def test_odd_rows(odd, none):
@@ -91,3 +104,20 @@ def test_prefixes(spark):
     for r in got:
         assert r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
         assert r["tops"] == [max([0, *r["v"][:i]]) for i in range(len(r["v"]))]
+
+
+def test_kinds_beyond_the_base(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nabc+/=\n-----END RSA PRIVATE KEY-----"
+    texts = [f"x ghp_{'a1B2' * 10} y", "is xoxb-1234567890-abcDEF.", f"jwt eyJ{'a' * 12}.{'b' * 12}.c-_d end", f"k {key} l", "see https://user:pa55word@host/path or ftp://host:21/", "-----BEGIN PRIVATE KEY----- no end", "gh_short xoxb-1 eyJa.b.c http://b:c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in secrets.findings(rows, secrets.scan(rows)).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert found == {i: plain(t) for i, t in enumerate(texts)}
+    assert found[0] == "host_token:2:46" and found[3] == f"private_key:2:{2 + len(key)}" and found[4] == "url_password:4:26" and found[5] == found[6] == ""
+    assert secrets.redact(rows).filter("doc_id = 4").first()["text"] == "see [secret]host/path or ftp://host:21/"
+
+
+def test_texts_made_to_go_wrong(spark):
+    texts = ["eyJ" * 200_000, "-----BEGIN " + "A " * 200_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "a" * 1_000_000 + "://", "http://" * 100_000, "secret" * 100_000, "0" * 1_000_000, "token=" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["s"] for r in secrets.findings(rows, secrets.scan(rows)).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert found == {i: plain(t) for i, t in enumerate(texts)}
