@@ -78,6 +78,11 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hash_bits(*cols: Column) -> Column:
     """A non-negative long."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

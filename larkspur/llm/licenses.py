@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import pkgutil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table
+from larkspur.llm.common import let, read_table
 
 #: Known licenses and notices as published (fixed values): identifier, text.
 NOTICES = (
@@ -124,53 +126,98 @@ For more information, please refer to <https://unlicense.org>"""),
 )
 for _license in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0"):
     TEXTS += _published(_license)
-#: Spellings that mean the same, after lower-casing (fixed values): what is written, what it becomes.
+#: How short licenses are headed (fixed values); their texts are known without a title and under each of these.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "License: MIT", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Spellings that mean the same, in canonical texts (fixed values): what is written, what it becomes.
 SPELLINGS = (
     ("licence", "license"),
-    ("sublicence", "sublicense"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("organisation", "organization"),
-    ("http:", "https:"),
+    ("http", "https"),
+    ("httpss", "https"),
+    ("59 temple place suite 330 boston ma 02111 1307 usa", "51 franklin street fifth floor boston ma 02110 1301 usa"),
+    ("675 mass ave cambridge ma 02139 usa", "51 franklin street fifth floor boston ma 02110 1301 usa"),
 )
-#: (pattern, replacement) in this order; only what Java's and RE2's expressions agree on.
-_STEPS = (
-    (r"(^|\n)[ \t#*/;-]*(\(c\)|©|copyright[ \t]+(\(c\)|©|[0-9<]))[^\n]*", r"\1"),
-    (r"(^|\n)[ \t#*/;-]*all rights reserved\.?[ \t]*(\n|$)", r"\1\2"),
+#: In canonical texts, where a holder is named (by 40 words at most); what is between the two phrases becomes the last.
+HOLDERS = (
+    ("neither the name of", "nor the names of its contributors", "the copyright holder"),
+    ("neither the names of", "nor the names of its contributors", "the copyright holder"),
+    ("this software is provided by", "as is and any", "the copyright holders and contributors"),
+    ("in no event shall", "be liable for any", "the copyright holders"),
 )
+#: Texts with none of these (in lower case) are no license, and need no more than lower case and single spaces.
+_SIGNS = ("licen", "copyright", "permission")
 _OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-#: Spark only, beyond what the SQL folds: dashes become hyphens, other marks and spaces from U+0080 up blanks.
+#: Unicode: dashes become hyphens, other marks and spaces from U+0080 up blanks.
 _DASHES, _MARKS = r"[\x{2010}-\x{2015}\x{2212}\x{FE58}\x{FE63}\x{FF0D}]", r"[\r\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}©]]"
-#: Spark only, for texts with "copyright" or "(c)": a (c) after (b) or of a license's own words stays, copyright lines that
-#: start with a name (they have a year, a place for one, or nothing but capitalised words) go.
-_LINES = (
-    (r"(?i)(^|\n)([ \t#*/;-]*\(b\)[\s\S]{0,20000}?\n[ \t#*/;-]*)\(c\)", "$1$2 c "),
-    (r"(?i)copyright[ \t]+\(c\)[ \t]+year\b", "copyright c year"),
-    (r"(?i)copyright[ \t]+(?:\(c\)|©)([0-9,\s-]+free software foundation)(?=[\s\S]{0,300}?everyone\s+is\s+permitted\s+to\s+copy)", "of copyright c$1"),
-    (
-        r"(^|\n)[ \t#*/;-]*(?:(?i:copyright)[ \t]+(?:[\[{]|[^\n]*\b(?:19|20)[0-9]{2}\b)[^\n]*"
-        r"|Copyright[ \t]+(?:by[ \t]+)?(?!(?:Holder|Owner|Licen[sc]e|Notice|Law|Act|Statement|Interest|Protection)s?\b)\p{Lu}[\p{L}\p{M}0-9.'&-]*(?:,?[ \t]+(?:\p{Lu}[\p{L}\p{M}0-9.'&-]*|and|of|the|&))*[,.]?[ \t]*(?=\n|$))",
-        "$1",
-    ),
-)
+_BREAKS = r"(?i)<[ \t]*/?[ \t]*(br|p)[ \t]*/?>"
+_LEAD = r"^[ \t#*/;>-]*"
+#: Of a line: it says whose the rights are in so many words; it does if it has a year; it does if only names follow.
+_CLEAR = rf"(?i){_LEAD}(\(c\)|©|copyright[ \t:]+(\(c\)|©|[0-9<\[{{]))"
+_DATED = rf"(?i){_LEAD}copyright[ \t].*\b(19|20)[0-9]{{2}}\b"
+_NAMED = rf"{_LEAD}Copyright[ \t]+(by[ \t]+)?(?!(Holder|Owner|Licen[sc]e|Notice|Law|Act|Statement|Interest|Protection)s?\b)\p{{Lu}}"
+_NAME = r"^((\p{Lu}|[0-9])[\p{L}\p{M}0-9.'&-]*|and|of|the|by|&|)$"
+_RESERVED = rf"(?i){_LEAD}all rights reserved\.?[ \t]*$"
+#: A license that must be copied as it is holds its author's copyright line as words of its own, where it has this permission.
+_VERBATIM, _FOUNDATION = r"everyone\s+is\s+permitted\s+to\s+copy", r"(?i)copyright[ \t]+(\(c\)|©)([0-9,\s-]+free software foundation|[ \t]+year\b)"
+#: The mark of a listed point at the start of a line, in brackets anywhere, and those of the second and third point.
+_POINT = r"(^|\n)[ \t#*/;>-]*([0-9]{1,2}[ \t]*[.)]|[a-z][ \t]*\)|[•‣◦])[ \t]+"
+_INSIDE = r"\(([ivx]{1,4}|[a-z]|[0-9]{1,2})\)"
+_SECOND, _THIRD = rf"(?i){_LEAD}\(b\)", rf"(?i){_LEAD}\(c\)"
+
+
+def _without_holders(text: Column) -> Column:
+    """The lines that do not say who holds the copyright. "(c)" begins such a line, but not after a point "(b)"."""
+
+    def owned(line, number, second):
+        named = line.rlike(_NAMED) & F.forall(F.split(line, "[ \t,]+"), lambda w: w.rlike(_NAME) | w.rlike(r"^[#*/;>-]*$"))
+        listed = line.rlike(_THIRD) & (second > 0) & (number >= second)
+        return (line.rlike(_CLEAR) & ~listed) | line.rlike(_DATED) | named | line.rlike(_RESERVED)
+
+    def kept(lines):
+        second = F.array_position(F.transform(lines, lambda line: line.rlike(_SECOND)), True)
+        return let(second, lambda second: F.filter(lines, lambda line, i: ~owned(line, i, second)))
+
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("©"), F.lit(" ")), _OTHER, " "))
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, one spelling for equivalent ones, all but letters and digits to single spaces."""
+    """Lower case, and all but letters and digits to single spaces; of texts with a license's words also without copyright
+    lines and marks of listed points, with one spelling for equivalent ones and one holder for all.
+
+    Every pattern is for one line or a few words and repeats no group, so neither long lines nor long texts matter.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
     folded = F.when(text.rlike(_MARKS), F.regexp_replace(F.regexp_replace(text, _DASHES, "-"), _MARKS, " ")).otherwise(text)
-    out = folded
-    for pattern, replacement in _LINES:
-        out = F.regexp_replace(out, pattern, replacement)
-    small = F.lower(text)
-    out = F.lower(F.when(small.contains("copyright") | small.contains("(c)"), out).otherwise(folded))
-    for pattern, replacement in _STEPS:
-        out = F.regexp_replace(out, pattern, replacement.replace("\\", "$"))
-    for written, becomes in SPELLINGS:
-        out = F.replace(out, F.lit(written), F.lit(becomes))
-    return F.trim(F.regexp_replace(F.replace(out, F.lit("©"), F.lit(" ")), _OTHER, " "))
+    has = lambda small, *signs: functools.reduce(operator.or_, (small.contains(sign) for sign in signs))
+
+    def license_words(text, small):
+        own = F.when(small.rlike(_VERBATIM), F.regexp_replace(text, _FOUNDATION, "of copyright c $2")).otherwise(text)
+        lines = F.regexp_replace(own, _BREAKS, "\n")
+        lines = let(lines, lambda x: F.when(has(small, "copyright", "(c)", "©", "all rights"), _without_holders(x)).otherwise(x))
+        out = _spaced(F.regexp_replace(F.regexp_replace(F.lower(lines), _INSIDE, " "), _POINT, "$1"))
+        for written, becomes in SPELLINGS:
+            out = F.replace(out, F.lit(written), F.lit(becomes))
+        for before, after, holder in HOLDERS:
+            out = F.regexp_replace(out, rf"{before} ([^ ]+ ){{1,40}}?{after}", f"{before} {holder} {after}")
+        return out
+
+    return let(folded, lambda text: let(F.lower(text), lambda small: F.when(has(small, *_SIGNS), license_words(text, small)).otherwise(_spaced(small))))
 
 
 def _hash(value: Column) -> Column:
@@ -182,9 +229,20 @@ def digest(text: Column) -> Column:
     return _hash(canonical(text).cast("binary"))
 
 
+def titled(licenses: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
+    """The list, and each text of it that stands under one of its license's titles without it and under the others."""
+    out = list(licenses)
+    for name, body in licenses:
+        title, _, rest = body.partition("\n\n")
+        bare = rest if title in TITLES.get(name, ()) else body if name in TITLES and len(body) > 400 else None
+        if bare:
+            out += [(name, bare), *((name, f"{other}\n\n{bare}") for other in TITLES[name])]
+    return out
+
+
 def known(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = TEXTS + NOTICES) -> DataFrame:
-    """digest, license: one row for each different canonical text of the list (a table as long as the list)."""
-    rows = spark.createDataFrame(list(licenses), "license string, body string")
+    """digest, license: one row for each different canonical text of the list (a table a few times as long as the list)."""
+    rows = spark.createDataFrame(titled(licenses), "license string, body string")
     return rows.select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -198,7 +256,9 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
-    lines = texts.select(_hash(F.col("text")).alias("blob"), F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    # lines and the text's hash are made below the generator: above it, the whole text would come along with every line
+    cut = texts.select(_hash(F.col("text")).alias("blob"), F.split("text", "\n").alias("lines"))
+    lines = cut.select("blob", F.explode_outer("lines").alias("line")).filter(F.trim("line") != "")
     hits = lines.select("blob", digest(F.col("line")).alias("digest")).join(F.broadcast(licenses), "digest")
     found = hits.groupBy("blob").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     whole = texts.select("doc_id", _hash(F.col("text")).alias("blob"), digest(F.col("text")).alias("digest")).join(F.broadcast(licenses), "digest", "left")
@@ -214,22 +274,42 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Written for RE2: whole copyright lines go by one expression, names of any number by a repeated group."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rights = (
+        r"^[ \t#*/;>-]*(?i:\(c\)|©|copyright[ \t:]+(?:\(c\)|©|[0-9<\[{]))",
+        r"^[ \t#*/;>-]*(?i:copyright)[ \t].*\b(?:19|20)[0-9]{2}\b",
+        r"^[ \t#*/;>-]*Copyright[ \t]+(?:by[ \t]+)?\p{Lu}[\p{L}\p{M}0-9.'&-]*(?:[ \t,]+(?:(?:\p{Lu}|[0-9])[\p{L}\p{M}0-9.'&-]*|and|of|the|by|&))*[ \t,]*$",
+        r"^[ \t#*/;>-]*(?i:all rights reserved)\.?[ \t]*$",
+    )
+    no_names = r"^[ \t#*/;>-]*Copyright[ \t]+(?:by[ \t]+)?(?:Holder|Owner|License|Licence|Notice|Law|Act|Statement|Interest|Protection)s?\b"
 
     def digest_of(column: str) -> str:
-        out = f"lower(coalesce({column}, ''))"
-        for pattern, replacement in _STEPS:
-            out = f"regexp_replace({out}, {quote(pattern)}, {quote(replacement)}, 'g')"
+        text = f"coalesce({column}, '')"
+        has = lambda *signs: "(" + " OR ".join(f"contains(lower({text}), {quote(s)})" for s in signs) + ")"
+        own = f"CASE WHEN regexp_matches(lower({text}), {quote(_VERBATIM)}) THEN regexp_replace({text}, {quote(r'copyright[ \t]+(?:[(]c[)]|©)([0-9,\s-]+free software foundation|[ \t]+year\b)')}, 'of copyright c \\1', 'gi') ELSE {text} END"
+        lines = f"string_split(regexp_replace({own}, {quote(r'<[ \t]*/?[ \t]*(?:br|p)[ \t]*/?>')}, chr(10), 'gi'), chr(10))"
+        second = f"list_position(list_transform({lines}, lambda b: regexp_matches(b, {quote('^[ \t#*/;>-]*(?i:[(]b[)])')})), true)"
+        listed = f"(regexp_matches(x, {quote('^[ \t#*/;>-]*(?i:[(]c[)])')}) AND coalesce({second}, 0) BETWEEN 1 AND i - 1)"
+        owned = f"(regexp_matches(x, {quote(rights[0])}) AND NOT {listed}) OR regexp_matches(x, {quote(rights[1])}) OR (regexp_matches(x, {quote(rights[2])}) AND NOT regexp_matches(x, {quote(no_names)})) OR regexp_matches(x, {quote(rights[3])})"
+        kept = f"CASE WHEN {has('copyright', '(c)', '©', 'all rights')} THEN array_to_string(list_filter({lines}, lambda x, i: NOT ({owned})), chr(10)) ELSE array_to_string({lines}, chr(10)) END"
+        spaced = lambda s: f"trim(regexp_replace(replace({s}, '©', ' '), {quote(_OTHER)}, ' ', 'g'))"
+        out = spaced(f"regexp_replace(regexp_replace(lower({kept}), {quote('[(](?:[ivx]{1,4}|[a-z]|[0-9]{1,2})[)]')}, ' ', 'g'), {quote(r'(^|\n)[ \t#*/;>-]*(?:[0-9]{1,2}[ \t]*[.)]|[a-z][ \t]*\)|[•‣◦])[ \t]+')}, '\\1', 'g')")
         for written, becomes in SPELLINGS:
             out = f"replace({out}, {quote(written)}, {quote(becomes)})"
-        return f"sha256(trim(regexp_replace({out}, {quote(_OTHER)}, ' ', 'g')))"
+        for before, after, holder in HOLDERS:
+            out = f"regexp_replace({out}, {quote(f'{before} (?:[^ ]+ ){{1,40}}?{after}')}, {quote(f'{before} {holder} {after}')}, 'g')"
+        return f"sha256(CASE WHEN {has(*_SIGNS)} THEN {out} ELSE {spaced(f'lower({text})')} END)"
 
-    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in TEXTS + NOTICES)
+    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in titled(TEXTS + NOTICES))
+    folded = lambda column: f"regexp_replace(regexp_replace(coalesce({column}, ''), {quote(_DASHES)}, '-', 'g'), {quote('[^\\x{0}-\\x{7F}\\p{L}\\p{M}\\p{N}©]|\\r')}, ' ', 'g')"
     return f"""
-WITH known AS (SELECT {digest_of("body")} AS digest, min(license) AS license FROM (VALUES {values}) AS t(license, body) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+WITH d AS (SELECT doc_id, {folded("text")} AS text FROM documents),
+given AS (SELECT license, {folded("body")} AS body FROM (VALUES {values}) AS t(license, body)),
+known AS (SELECT {digest_of("body")} AS digest, min(license) AS license FROM given GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 hits AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, {digest_of("line")} AS digest FROM lines WHERE trim(line) <> '') JOIN known USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, {digest_of("text")} AS digest FROM documents)
+whole AS (SELECT doc_id, {digest_of("text")} AS digest FROM d)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (doc_id)"""
 
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import boxed, hash_bits, read_table, scratch_path, unboxed
+from larkspur.llm.common import boxed, hash_bits, let, read_table, scratch_path, unboxed
 
 #: kind, pattern, the group whose length counts, its least length; in the order in which kinds are listed.
 RULES = (
@@ -29,11 +29,6 @@ SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _before(values: Column, op) -> Column:
     """For each of an array of ints `op` (sum, maximum) over all before it, 0 for the first.
 
@@ -50,9 +45,9 @@ def _before(values: Column, op) -> Column:
         count = F.ceil(F.size(values) / size).cast("int")
         chunks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda c: fold(F.slice(values, (c - 1) * size + 1, size)))
         shifted = lambda chunks: F.zip_with(chunks, fold(F.transform(chunks, lambda c: c["all"]))["each"], lambda c, base: F.transform(c["each"], lambda x: op(x, base)))
-        return _let(chunks, lambda c: F.flatten(shifted(c)))
+        return let(chunks, lambda c: F.flatten(shifted(c)))
 
-    return _let(values, chunked)
+    return let(values, chunked)
 
 
 def _matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -73,7 +68,7 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int, leas
 
         return F.filter(F.transform(F.zip_with(pieces, at, lambda p, a: F.struct(p.alias("p"), a.alias("at"))), span), lambda s: s.isNotNull())
 
-    return F.when(F.rlike(clean, F.lit(pattern)), _let(pieces, spans)).otherwise(F.array().cast(SPAN))
+    return F.when(F.rlike(clean, F.lit(pattern)), let(pieces, spans)).otherwise(F.array().cast(SPAN))
 
 
 def find(text: Column) -> Column:
@@ -158,7 +153,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         kept = F.zip_with("spans", _before(ends, F.greatest), taken)
         return F.concat(F.array_join(kept, ""), between(blocks, F.array_max(ends), F.length(text)))
 
-    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)
     out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
     changed = {"n_chars": F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {}
     return unboxed(out, docs.columns, **changed)

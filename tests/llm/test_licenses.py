@@ -71,3 +71,62 @@ def test_a_listed_point_is_no_copyright_line(spark):
     points = "(a) one thing;\n(b) another; and\n(c) the third one"
     digests = [r["digest"] for r in scan(spark, [points, points.replace("third", "fourth"), points.replace("the third", "the\nthird")]).values()]
     assert digests[0] != digests[1] and digests[0] == digests[2]
+
+
+BSD = dict(licenses.TEXTS)["BSD-3-Clause"]
+MIT = dict(licenses.TEXTS)["MIT"]
+
+
+def test_titles_are_optional(spark):
+    bare = {name: dict(licenses.TEXTS)[name].split("\n\n", 1)[1] for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Zlib")}
+    forms = [(name, text) for name, text in bare.items()]
+    forms += [("MIT", f"{t}\n\n{bare['MIT']}") for t in ("The MIT License (MIT)", "The MIT License", "MIT", "# MIT License", "(The MIT License)")]
+    forms += [("ISC", "ISC License (ISC)\n" + bare["ISC"]), ("BSD-3-Clause", "New BSD License\n\n" + bare["BSD-3-Clause"])]
+    found = scan(spark, [text for _, text in forms])
+    assert [found[i]["license"] for i in range(len(forms))] == [name for name, _ in forms]
+
+
+def test_holders_bullets_and_breaks(spark):
+    named = BSD.replace("the copyright holder nor", "Google Inc. nor")
+    assert named != BSD
+    provided = named.replace("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "BY THE REGENTS AND CONTRIBUTORS").replace("SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE", "SHALL THE REGENTS OR CONTRIBUTORS BE")
+    assert provided != named
+    stars = "\n".join("* " + line[3:] if line[:2] in ("1.", "2.", "3.") else line for line in BSD.split("\n"))
+    dashes = stars.replace("* ", "   - ")
+    assert stars != BSD
+    texts = [named, provided, stars, dashes, BSD.replace("\n\n", "<br>"), MIT.replace("\n\n", "<br />\n<br/>"), "<p>" + MIT.replace("\n\n", "</p>\n<p>") + "</p>"]
+    found = scan(spark, texts)
+    assert [found[i]["license"] for i in range(7)] == ["BSD-3-Clause"] * 5 + ["MIT"] * 2
+    other = scan(spark, [BSD.replace("nor the names of its contributors", "nor others"), MIT.replace("AS IS", "AS IT WAS")])
+    assert [other[i]["license"] for i in range(2)] == [None, None]
+
+
+def test_addresses_and_free_software_lines(spark):
+    gpl = next(body for name, body in licenses.TEXTS if name == "GPL-2.0")
+    old = gpl.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")
+    assert old != gpl
+    found = scan(spark, [gpl, old, "\n".join("> " + line for line in gpl.split("\n"))])
+    assert [found[i]["license"] for i in range(3)] == ["GPL-2.0"] * 3
+
+
+def test_long_lines_and_far_points(spark):
+    names = "Copyright " + "Foo " * 100_000
+    far = "(a) one;\n(b) two;\n" + "word " * 30_000 + "\n(c) three"
+    texts = [names, MIT.replace("Copyright (c) <year> <holder>", names), "copyright " * 100_000, "(c) " * 100_000, "in no event shall " * 50_000, "license " + "\n1. " * 100_000, far, far.replace("three", "four")]
+    found = scan(spark, texts)
+    assert found[0]["digest"] == hashlib.sha256(b"").hexdigest() and found[1]["license"] == "MIT"
+    assert found[6]["digest"] != found[7]["digest"]
+
+
+def test_sql_on_texts_made_of_licenses(spark, tmp_path):
+    """Both sides on full texts and their forms, which the given tables lack."""
+    texts = [body for _, body in licenses.titled(licenses.TEXTS)] + [BSD.replace("the copyright holder nor", "Google Inc. nor"), MIT.replace("\n\n", "<br>"), "Copyright The Project Authors, 2020\nAll rights reserved.\n" + MIT]
+    texts += ["(a) x\n(b) y\n(c) z license", "(c) z license", "Copyright Jane Doe and Sons\nlicense", "Copyright License is granted", "a\nSPDX-License-Identifier: MIT\nb", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, expected = rows_of(licenses.op1_licenses(spark, str(tmp_path))), rows_of_sql(con, licenses.ORACLE_SQL["op1_licenses"])
+    assert got == expected
+    assert sum(r[2] is not None for r in got[1]) >= len(licenses.titled(licenses.TEXTS))
