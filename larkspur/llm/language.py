@@ -95,13 +95,19 @@ class Model:
     temperature: float = 1.0
     threshold: float = np.inf
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        """Rows are texts' counts of buckets; none counts as nothing known."""
-        mean = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32) @ self.embeddings
+    def logits(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of texts as buckets and their shares; one without any has the bias alone."""
+        mean = np.stack([share @ self.embeddings[at] for at, share in texts]) if texts else np.zeros((0, WIDTH))
         return mean.astype(np.float64) @ self.weights + self.bias
 
-    def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        return softmax(self.logits(counts) / self.temperature)
+    def probabilities(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return softmax(self.logits(texts) / self.temperature)
+
+
+def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and what part of all each is."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16), (counts[at] / max(1, counts.sum())).astype(np.float32)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -130,7 +136,7 @@ def descend(model: Model, examples: list[tuple[np.ndarray, np.ndarray]], labels:
             done += 1
 
 
-def calibrate(model: Model, counts: np.ndarray, labels: np.ndarray, error: float) -> None:
+def calibrate(model: Model, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, error: float) -> None:
     """Temperature and threshold from examples that were not learned from.
 
     The temperature has the least cross-entropy (a golden-section search over its logarithm). The threshold is the
@@ -139,14 +145,14 @@ def calibrate(model: Model, counts: np.ndarray, labels: np.ndarray, error: float
     """
     if not len(labels):
         return
-    z = model.logits(counts)
+    z = model.logits(texts)
     loss = lambda t: -np.log(np.maximum(softmax(z / np.exp(t))[np.arange(len(labels)), labels], 1e-300)).mean()
     low, high, golden = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(60):
         a, b = high - golden * (high - low), low + golden * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     model.temperature = float(np.exp((low + high) / 2))
-    p = model.probabilities(counts)
+    p = softmax(z / model.temperature)
     order = np.argsort(-p.max(1), kind="stable")
     scores, wrong = p.max(1)[order], np.cumsum(p.argmax(1)[order] != labels[order])
     last = np.append(scores[1:] < scores[:-1], True)  # of equal scores all or none are accepted
@@ -155,21 +161,19 @@ def calibrate(model: Model, counts: np.ndarray, labels: np.ndarray, error: float
 
 
 def fit(examples: list[tuple[str, int, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.1, error: float = 0.01, seed: int = 5) -> Model:
-    """A model from (language, hash of the text, buckets, counts); a fifth of the texts, by their hash, calibrates it."""
+    """A model from (language, hash of the text, buckets, shares); a fifth of the texts, by their hash, calibrates it."""
     languages = sorted({e[0] for e in examples})
-    rng = np.random.default_rng(seed)
     number = {name: k for k, name in enumerate(languages)}
-    model = Model(languages, np.zeros((BUCKETS, WIDTH), np.float32), rng.standard_normal((WIDTH, len(languages))) / 2, np.zeros(len(languages)))
+    weights = np.random.default_rng(seed).standard_normal((WIDTH, len(languages))) / 2
+    model = Model(languages, np.zeros((BUCKETS, WIDTH), np.float32), weights, np.zeros(len(languages)))
     examples = [e for e in examples if len(e[2])]
-    apart = [e for e in examples if e[1] % 5 == 0] if len(examples) >= 50 else []
-    learned = [e for e in examples if e[1] % 5] if apart else examples
+    few = len(examples) < 50
+    learned, apart = ([e for e in examples if few or bool(e[1] % 5) is kind] for kind in (True, False))
+    labels = lambda part: np.array([number[e[0]] for e in part], np.int64)
     if learned:
-        shares = [(at, (n / n.sum()).astype(np.float32)) for _, _, at, n in learned]
-        descend(model, shares, np.array([number[e[0]] for e in learned]), epochs, rate, seed)
-    counts = np.zeros((len(apart), BUCKETS), np.float32)
-    for row, (_, _, at, n) in zip(counts, apart):
-        row[at] = n
-    calibrate(model, counts, np.array([number[e[0]] for e in apart], np.int64), error)
+        descend(model, [e[2:] for e in learned], labels(learned), epochs, rate, seed)
+    if not few:
+        calibrate(model, [e[2:] for e in apart], labels(apart), error)
     return model
 
 
@@ -197,19 +201,18 @@ def train(docs: DataFrame, sample: int = 4096, **params) -> Model:
             rows = []
             for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for short, part in ((False, text), (True, _piece(text, h))):
-                    counts, _ = subwords(part)
-                    at = np.flatnonzero(counts)
-                    rows.append((lang, h, short, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_pydict(dict(zip(("lang", "h", "short", "at", "n"), map(list, zip(*rows)))), schema=shape) if rows else pa.RecordBatch.from_pylist([], schema=shape)
+                    at, share = shares(subwords(part)[0])
+                    rows.append((lang, h, short, at.tobytes(), share.tobytes()))
+            yield pa.RecordBatch.from_pydict(dict(zip(("lang", "h", "short", "at", "share"), map(list, zip(*rows)))), schema=shape) if rows else pa.RecordBatch.from_pylist([], schema=shape)
 
-    shape = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("short", pa.bool_()), ("at", pa.binary()), ("n", pa.binary())])
-    got = sorted(texts.select("lang", "h", "text").mapInArrow(run, "lang string, h long, short boolean, at binary, n binary").collect(), key=lambda r: (r["lang"], r["h"], r["short"]))
+    shape = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("short", pa.bool_()), ("at", pa.binary()), ("share", pa.binary())])
+    got = sorted(texts.select("lang", "h", "text").mapInArrow(run, "lang string, h long, short boolean, at binary, share binary").collect(), key=lambda r: (r["lang"], r["h"], r["short"]))
     examples, taken = [], {}
     for r in got:
         seen = taken.setdefault(r["lang"], set())
         if r["h"] in seen or len(seen) < quota:
             seen.add(r["h"])
-            examples.append((r["lang"], r["h"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")))
+            examples.append((r["lang"], r["h"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)))
     return fit(examples, **params)
 
 
@@ -231,7 +234,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for lo in range(0, batch.num_rows, 64):
                 part = [subwords(t.as_py() or "") for t in batch.column(1).slice(lo, 64)]
                 if at := [k for k, (_, letters) in enumerate(part) if letters and model.languages]:
-                    p = model.probabilities(np.stack([part[k][0] for k in at]).astype(np.float32))
+                    p = model.probabilities([shares(part[k][0]) for k in at])
                     for k, best, score in zip(at, p.argmax(1), p.max(1)):
                         names[lo + k], scores[lo + k] = model.languages[best], min(1.0, score)
             accepted = pa.array([name != UNKNOWN and s >= model.threshold for name, s in zip(names, scores)], pa.bool_())

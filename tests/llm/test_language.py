@@ -91,15 +91,16 @@ def test_calibration_accepts_what_is_wrong_no_oftener_than_told():
     counts[np.arange(4000), 1 - labels] = rng.uniform(0, 2, 4000)
     model = Model(["a", "b"], np.zeros((BUCKETS, 16), np.float32), np.eye(16, 2) * 20.0, np.zeros(2))
     model.embeddings[0, 0] = model.embeddings[1, 1] = 1.0
-    new, true = counts[2000:], labels[2000:]
+    texts = [language.shares(c) for c in counts]
+    new, true = texts[2000:], labels[2000:]
     loss = lambda: -np.log(model.probabilities(new)[np.arange(2000), true]).mean()
     before = loss()
-    language.calibrate(model, counts[:2000], labels[:2000], 0.02)
+    language.calibrate(model, texts[:2000], labels[:2000], 0.02)
     assert loss() < before and model.temperature > 1
     p = model.probabilities(new)
     wrong, accepted = p.argmax(1) != true, p.max(1) >= model.threshold
     assert wrong.mean() > 0.05 and wrong[accepted].mean() < 0.03 and accepted.mean() > 0.5
-    language.calibrate(model, counts[:40], labels[:40], 0.02)
+    language.calibrate(model, texts[:40], labels[:40], 0.02)
     assert model.threshold == np.inf  # 40 texts cannot show that
 
 
