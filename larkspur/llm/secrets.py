@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import boxed, hash_bits, let, read_table, scratch_path, unboxed
 
-#: kind, pattern, the group whose length counts, its least length; in the order in which kinds are listed.
+#: kind, pattern, the group whose length counts, its least length, and signs, of which every match holds one (none: no
+#: sign is looked for); in the order in which kinds are listed. After the base kinds come formats that give themselves
+#: away (fixed values).
 RULES = (
-    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),  # of AKIA[A-Z0-9]+ only matches of 20 or more count: runs are maximal
-    ("hex", r"[0-9a-f]{24,}", 0, 24),
-    # beyond the base kinds: formats that give themselves away (fixed values)
-    ("host_token", r"(gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,})", 0, 40),
-    ("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("signed_token", r"eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 20),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 40),
-    ("url_password", r"(https?|s?ftp|ssh|smtps?|ldaps?|mysql|postgres|postgresql|mongodb|rediss?|amqps?)://[^/\s:@?#]+:[^/\s@?#]+@", 0, 8),
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ()),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, ("AKIA",)),  # of AKIA[A-Z0-9]+ only matches of 20 or more count: runs are maximal
+    ("hex", r"[0-9a-f]{24,}", 0, 24, ()),
+    ("host_token", r"(gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,})", 0, 40, ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_")),
+    ("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15, ("xox",)),
+    ("signed_token", r"eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", 0, 20, ("eyJ",)),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 40, ("PRIVATE KEY-----",)),
+    ("url_password", r"(https?|s?ftp|ssh|smtps?|ldaps?|mysql|postgres|postgresql|mongodb|rediss?|amqps?)://[^/\s:@?#]+:[^/\s@?#]+@", 0, 8, ("://",)),
 )
 #: The kinds whose spans are counted and digested as the base.
 BASE = ("assign", "access", "hex")
@@ -50,13 +53,11 @@ def _before(values: Column, op) -> Column:
     return let(values, chunked)
 
 
-def _matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """All matches of one rule, left to right, as spans in code points.
+def _matches(clean: Column, order: int, kind: str, pattern: str, group: int, least: int, signs: tuple[str, ...]) -> Column:
+    """All matches of one rule, left to right, as spans in code points, in a text without the two marks.
 
-    Matches are put between two marks, which the text itself lost before to a third character that no rule can take
-    (one code point each, so places hold); the pieces between marks then alternate, and their lengths add up to places.
+    Matches are put between the marks; the pieces between marks then alternate, and their lengths add up to places.
     """
-    clean = F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")
     pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]")
 
     def spans(pieces):
@@ -68,12 +69,19 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int, leas
 
         return F.filter(F.transform(F.zip_with(pieces, at, lambda p, a: F.struct(p.alias("p"), a.alias("at"))), span), lambda s: s.isNotNull())
 
-    return F.when(F.rlike(clean, F.lit(pattern)), let(pieces, spans)).otherwise(F.array().cast(SPAN))
+    there = functools.reduce(operator.or_, (clean.contains(sign) for sign in signs), F.lit(False)) if signs else F.lit(True)
+    return F.when(there & F.rlike(clean, F.lit(pattern)), let(pieces, spans)).otherwise(F.array().cast(SPAN))
 
 
 def find(text: Column) -> Column:
-    """Spans (start, order, kind, end) of every rule in a text, by start, then kind as listed."""
-    return F.array_sort(F.concat(*[_matches(text, i, *rule) for i, rule in enumerate(RULES)]))
+    """Spans (start, order, kind, end) of every rule in a text, by start, then kind as listed.
+
+    The marks that matches are put between are first taken from the text, for a third character that no rule can take
+    (one code point each, so places hold).
+    """
+    marked = text.contains(_OPEN) | text.contains(_CLOSE)
+    clean = F.when(marked, F.translate(text, _OPEN + _CLOSE, "\u0003\u0003")).otherwise(text)
+    return let(clean, lambda clean: F.array_sort(F.concat(*[_matches(clean, i, *rule) for i, rule in enumerate(RULES)])))
 
 
 def blob_ids(docs: DataFrame) -> DataFrame:
@@ -180,7 +188,7 @@ def _sql() -> str:
     """Places of matches from the pieces between them: piece i ends where match i starts."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     parts = []
-    for order, (kind, pattern, group, least) in enumerate(RULES):
+    for order, (kind, pattern, group, least, _) in enumerate(RULES):
         r = quote(pattern)
         parts.append(f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, spot, spot + len(m) AS upto FROM (
   SELECT doc_id, m[i] AS m, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS spot
