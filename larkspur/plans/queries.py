@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from larkspur import schemas
 from larkspur.functions import outputs, prompts, text
-from larkspur.operators import dense, dialogue, evaluation, experiments, indexing, lexical, ports
+from larkspur.operators import dense, dialogue, evaluation, experiments, indexing, lexical, ports, storage
+from larkspur.operators.impact_index import ImpactIndex
 from larkspur.plans import sql as S
 from larkspur.plans import standins as I  # noqa: E741
 from larkspur.sources import readers, writers
@@ -407,6 +408,15 @@ def bm25_topk(spark, d):
     return lexical.search(I.passages(spark, d), I.questions(spark, d), 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("bm25_pruned", f"WITH {S.BM25} SELECT qid, pid, score, rank FROM bm WHERE rank <= 10")
+def bm25_pruned(spark, d):
+    """Two deliveries, each a segment of an impact-ordered index; the ten best of each question from both."""
+    index = ImpactIndex(spark, storage.scratch(spark, "index"), buckets=16)
+    for odd in (False, True):
+        index.add(I.passages(spark, d).filter((F.crc32(F.col("pid").cast("binary")) % 2 == 1) == odd))
+    return index.search(I.questions(spark, d), 10).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("run_rank", f"WITH {S.BM25} SELECT qid || ' Q0 ' || pid || ' ' || CAST(rank AS VARCHAR) || ' ' || CAST(200 - rank AS VARCHAR) || ' bm25' AS line FROM bm")
 def run_rank(spark, d):
     run = lexical.search(I.passages(spark, d), I.questions(spark, d), 1000)
