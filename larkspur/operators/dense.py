@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +82,12 @@ def dedupe(hits: DataFrame, k: int) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
-    """One vector a key: the unweighted mean of its vectors, not made unit again."""
-    flat = rows.select(key, F.posexplode("vector").alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("vector"))
+    """One vector a key: the unweighted mean of its vectors (all of one width), not made unit again.
+
+    Vectors are summed up as they are, in each task before anything is shuffled. Null vectors do not count.
+    """
+    whole = rows.filter(F.col("vector").isNotNull()).select(key, array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    return whole.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vector"))
 
 
 def masked_mean(tokens: Column, mask: Column) -> Column:

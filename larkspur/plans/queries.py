@@ -456,12 +456,14 @@ def query_mean_pool(spark, d):
     return out.select(F.col("label").cast("long").alias("label"), F.posexplode("vector").alias("i", "v")).select("label", F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("masked_mean", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[5] AS DOUBLE)) / 2, 6) + 0.0 AS first, round((CAST(embedding[2] AS DOUBLE) + CAST(embedding[6] AS DOUBLE)) / 2, 6) + 0.0 AS second FROM embeddings")
+@query("masked_mean", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, i FROM embeddings, range(8) x(i))
+SELECT vec_id, i AS place, round((e[1 + i] + e[17 + i] + e[33 + i] + e[49 + i]) / 4, 6) + 0.0 AS first, round((e[9 + i] + e[25 + i] + e[41 + i] + e[57 + i]) / 4, 6) + 0.0 AS second FROM e""")
 def masked_mean(spark, d):
-    tokens = F.array(*[F.slice("vector", 2 * i + 1, 2) for i in range(4)])
-    mean = dense.masked_mean(tokens, F.array(*map(F.lit, (1, 0, 1, 0))))
-    out = I.vectors(spark, d).select("vec_id", mean.alias("m"))
-    return out.select("vec_id", (F.round(F.get("m", F.lit(0)), 6) + 0.0).alias("first"), (F.round(F.get("m", F.lit(1)), 6) + 0.0).alias("second"))
+    """Each vector as eight tokens of eight components; every other token counts, then the others."""
+    tokens = F.array(*[F.slice("vector", 8 * i + 1, 8) for i in range(8)])
+    first, second = (dense.masked_mean(tokens, F.array(*map(F.lit, mask * 4))) for mask in ((1, 0), (0, 1)))
+    out = I.vectors(spark, d).select("vec_id", F.posexplode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("place", "m"))
+    return out.select("vec_id", F.col("place").cast("long").alias("place"), *[(F.round(f"m.{c}", 6) + 0.0).alias(name) for c, name in (("a", "first"), ("b", "second"))])
 
 
 @query("encode_hash", """WITH x AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 8) AS places FROM documents)
@@ -706,12 +708,12 @@ def _rounded(rows):
 
 @query("agg_run_stats", f"WITH {S.run_values()} SELECT name, subset, metric, {_STATS} FROM vl GROUP BY name, subset, metric")
 def agg_run_stats(spark, d):
-    return _rounded(evaluation.run_statistics(evaluation.long_metrics(I.run_values(spark), "position", "name", "subset", "run"), "name", "subset", "metric"))
+    return _rounded(evaluation.run_statistics(evaluation.long_metrics(I.run_values(spark, d), "position", "name", "subset", "run"), "name", "subset", "metric"))
 
 
 @query("agg_run_grid", f"WITH {S.run_values()}, g AS (SELECT *, CASE WHEN position = 0 THEN subset || CASE WHEN run % 2 = 0 THEN '_baseline' ELSE '_always_ptkb' END ELSE subset END AS variant FROM vl) SELECT name, variant, metric, {_STATS}, count(*) AS runs FROM g GROUP BY name, variant, metric")
 def agg_run_grid(spark, d):
-    rows = evaluation.long_metrics(I.run_values(spark), "position", "name", "subset", "run")
+    rows = evaluation.long_metrics(I.run_values(spark, d), "position", "name", "subset", "run")
     variant = F.when(F.col("position") == 0, F.concat("subset", F.when(F.col("run") % 2 == 0, F.lit("_baseline")).otherwise(F.lit("_always_ptkb")))).otherwise(F.col("subset"))
     rows = rows.withColumn("variant", variant)
     counts = rows.groupBy("name", "variant", "metric").agg(F.count(F.lit(1)).alias("runs"))
@@ -723,7 +725,7 @@ tt AS (SELECT a.name AS name1, b.name AS name2, a.subset, a.metric, (a.mean - b.
 pp AS (SELECT *, atan(abs(t) / sqrt(8.0)) AS th FROM tt), p AS (SELECT *, 1 - sin(th) * (1 + 1.0 / 2 * cos(th) ** 2 + 3.0 / 8 * cos(th) ** 4 + 15.0 / 48 * cos(th) ** 6) AS p FROM pp)
 SELECT name1, name2, subset, metric, round(t, 6) AS t, round(p, 6) AS p FROM p WHERE p < 0.05""")
 def ttest_pairs(spark, d):
-    stats = evaluation.run_statistics(evaluation.long_metrics(I.run_values(spark), "position", "name", "subset", "run"), "position", "name", "subset", "metric")
+    stats = evaluation.run_statistics(evaluation.long_metrics(I.run_values(spark, d), "position", "name", "subset", "run"), "position", "name", "subset", "metric")
     out = evaluation.significant(evaluation.t_tests(stats))
     return out.select("name1", "name2", "subset", "metric", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
@@ -734,7 +736,9 @@ def dataset_stats(spark, d):
     return dialogue.dataset_stats(I.topics(spark, d), I.assessed(spark, d), I.passages(spark, d)).select("variable", F.col("value").cast("long").alias("value"))
 
 
-@query("experiment_grid", """SELECT year, type, CAST(shot AS BIGINT) AS shot, CAST(prompt AS BIGINT) AS prompt, split, CAST(run AS BIGINT) AS run FROM (SELECT unnest(['2023', '2024']) AS year), (SELECT unnest(['SAR', 'LLM', 'All', 'None', 'human', 'automatic']) AS type), (SELECT unnest([0, 1, 3, 5]) AS shot), (SELECT unnest([0, 1, 2]) AS prompt), (SELECT unnest([FALSE, TRUE]) AS split), (SELECT unnest([1, 2, 3, 4, 5]) AS run)
-WHERE (type IN ('SAR', 'LLM') OR shot = 0) AND ((type = 'SAR') = (prompt = 0)) AND (NOT split OR prompt = 1)""")
+@query("experiment_grid", """SELECT year, type, CAST(shot AS BIGINT) AS shot, CAST(prompt AS BIGINT) AS prompt, split, CAST(run AS BIGINT) AS run, turns FROM (SELECT unnest(['2023', '2024']) AS year), (SELECT unnest(['SAR', 'LLM', 'All', 'None', 'human', 'automatic']) AS type), (SELECT unnest([0, 1, 3, 5]) AS shot), (SELECT unnest([0, 1, 2]) AS prompt), (SELECT unnest([FALSE, TRUE]) AS split)
+JOIN (SELECT conv_id % 5 + 1 AS run, count(*) AS turns FROM conversations GROUP BY 1) ON true WHERE (type IN ('SAR', 'LLM') OR shot = 0) AND ((type = 'SAR') = (prompt = 0)) AND (NOT split OR prompt = 1)""")
 def experiment_grid(spark, d):
-    return experiments.grid(spark).select("year", "type", *[F.col(c).cast("long").alias(c) for c in ("shot", "prompt", "run")], "split")
+    """The grid of experiments with the turns that each run has before it: a fifth of the conversations."""
+    turns = I.table(spark, d, "conversations").groupBy((F.col("conv_id") % 5 + 1).cast("int").alias("run")).agg(F.count(F.lit(1)).alias("turns"))
+    return experiments.grid(spark).join(turns, "run").select("year", "type", *[F.col(c).cast("long").alias(c) for c in ("shot", "prompt", "run")], "split", "turns")

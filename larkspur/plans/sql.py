@@ -63,6 +63,8 @@ def reported(source: str = "m") -> str:
 
 
 def run_values() -> str:
-    values = ", ".join(f'CAST(30 + m * 1.5 + s + {k} * 0.5 + ((r * 37 + m * 11 + s * 5 + {k} * 3) % 13) / 10.0 AS DOUBLE) AS "{name}"' for k, name in enumerate(schemas.METRICS))
-    return f"""v AS (SELECT m AS position, 'method' || CAST(m AS VARCHAR) AS name, 'subset' || CAST(s AS VARCHAR) AS subset, r AS run, {values} FROM (SELECT i % 4 AS m, i // 4 % 3 AS s, i // 12 AS r FROM range(60) x(i))),
+    means = ", ".join(f'round_even(avg({c}) * 100, 5) AS "{name}"' for name, c in _REPORT.items())
+    return f"""{JUDGED}, rr AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS pid, p.i AS position, r.i AS run, ((doc_id * (37 + 2 * p.i) + item_id * (11 + 3 * r.i)) % 101) / 10.0::DOUBLE AS score FROM documents JOIN benchmark ON doc_id % 25 = item_id % 25, range(4) p(i), range(5) r(i)),
+{metrics("rr", "qid, position, run")},
+v AS (SELECT position, 'method' || CAST(position AS VARCHAR) AS name, 'subset' || CAST(CAST(qid AS BIGINT) % 3 AS VARCHAR) AS subset, run, {means} FROM m GROUP BY ALL),
 vl AS (UNPIVOT v ON {", ".join(f'"{name}"' for name in schemas.METRICS)} INTO NAME metric VALUE value)"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur import schemas
+from larkspur.operators import evaluation
+from larkspur.sources import readers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,8 +130,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("line_no", value.alias("value"))
 
 
-def run_values(spark: SparkSession) -> DataFrame:
-    """position, name, subset, run, metrics of 4 methods, 3 subsets and 5 runs by formula."""
-    g = spark.range(60).select((F.col("id") % 4).alias("m"), (F.floor(F.col("id") / 4) % 3).alias("s"), (F.floor(F.col("id") / 12)).alias("r"))
-    value = lambda k: (30 + F.col("m") * 1.5 + F.col("s") + F.lit(k) * 0.5 + ((F.col("r") * 37 + F.col("m") * 11 + F.col("s") * 5 + F.lit(k) * 3) % 13) / 10).cast("double")
-    return g.select(F.col("m").alias("position"), F.concat(F.lit("method"), F.col("m").cast("string")).alias("name"), F.concat(F.lit("subset"), F.col("s").cast("string")).alias("subset"), F.col("r").alias("run"), *[value(k).alias(name) for k, name in enumerate(schemas.METRICS)])
+def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position, name, subset, run and the reported metrics: four methods with five runs each, each run's results evaluated
+    by the judgements and averaged over three subsets of the questions."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "benchmark").select("item_id")
+    pairs = d.withColumn("m", F.col("doc_id") % 25).join(b.withColumn("m", F.col("item_id") % 25), "m").drop("m")
+    ran = pairs.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    score = ((F.col("doc_id") * (37 + 2 * F.col("position")) + F.col("item_id") * (11 + 3 * F.col("run"))) % 101) / 10
+    results = ran.select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("pid"), score.alias("score"), "position", "run")
+    found = evaluation.per_query(results, readers.qrels(judgement_lines(spark, sf_dir)), ("qid", "position", "run"))
+    means = evaluation.summary(found.withColumn("subset", F.concat(F.lit("subset"), (F.col("qid").cast("long") % 3).cast("string"))), "position", "subset", "run")
+    return means.withColumn("name", F.concat(F.lit("method"), F.col("position").cast("string")))
