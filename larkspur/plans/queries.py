@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur import schemas
 from larkspur.functions import outputs, prompts, text
-from larkspur.operators import dense, dialogue, evaluation, experiments, indexing, lexical, ports, storage
+from larkspur.operators import dense, dialogue, evaluation, experiments, indexing, lexical, ports, pruned_dense, storage
 from larkspur.operators.impact_index import ImpactIndex
 from larkspur.plans import sql as S
 from larkspur.plans import standins as I  # noqa: E741
@@ -434,6 +434,11 @@ def dense_topk(spark, d):
     return dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 1000).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("dense_topk_pruned", f"WITH {_DENSE} SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM dp) WHERE rank <= 100")
+def dense_topk_pruned(spark, d):
+    return pruned_dense.topk(I.vectors(spark, d), I.vector_queries(spark, d), 100, block=256).select("qid", "pid", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("dense_topk_blocked", f"""WITH {_DENSE}, n AS (SELECT vec_id, ntile(4) OVER (ORDER BY vec_id) - 1 AS block FROM embeddings), hb AS (SELECT qid, pid, vec_id, block, score, row_number() OVER (PARTITION BY qid, block ORDER BY score DESC, pid) AS pos FROM dp JOIN n USING (vec_id)),
 hk AS (SELECT * FROM hb WHERE pos <= 1000) SELECT qid, pid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, block, pos) AS rank FROM hk) WHERE rank <= 1000""")
 def dense_topk_blocked(spark, d):
