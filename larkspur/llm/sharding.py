@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import hash_bits, materialise, read_table, running
@@ -75,7 +75,7 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
     bins, each inside the bin of the one before that holds the median: of the coordinate, then of 36 bits of the text's
     hash, so that equal texts are a unit. A bin that holds one text alone needs no further histogram. That unit goes to
     the nearer side as a whole; only if it weighs more than `whole` of a leaf, a last histogram, of the rows' own hashes,
-    splits it. Driver: nodes and bins, whatever the rows.
+    splits it. What comes to the driver is a row a node, at most as many as shards.
     """
     frontier, base, next_id = [(0, 0, leaves)], None, 1  # node, first leaf, leaves
     at = points
@@ -101,11 +101,10 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
             if not now:
                 continue
             rows = _with_bins(at, now).filter(" and ".join(["dim is not null", *(f"bin{i} = cut{i}" for i in range(depth))]))
-            sums: dict[int, list] = {}
-            for r in rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w"), F.min("same").alias("low"), F.max("same").alias("high")).collect():
-                sums.setdefault(r["node"], []).append((r["bin"], r["w"], r["low"] if r["low"] == r["high"] else None))
+            bins = rows.groupBy("node", F.col(f"bin{depth}").alias("bin")).agg(F.sum("size").alias("w"), F.min("same").alias("low"), F.max("same").alias("high"))
+            cuts = {r["node"]: r for r in _medians(bins, now).collect()}
             for s in now:
-                cut, s["done"], weight, only = _median(sorted(sums[s["node"]], key=lambda b: b[0]), s["want"], s["done"])
+                cut, s["done"], weight, only = cuts[s["node"]][1:]
                 s[f"cut{depth}"], at_depth = cut, depth
                 if only is not None and depth < DEPTHS - 2:
                     at_depth = DEPTHS - 2
@@ -126,13 +125,19 @@ def split_tree(points: DataFrame, leaves: int, whole: float = 0.02) -> DataFrame
     return at.join(F.broadcast(leaf), "node").drop("node")
 
 
-def _median(bins: list[tuple[int, int, int | None]], want: float, done: float) -> tuple[int, float, int, int | None]:
-    """The bin in which the weight reaches `want`, what lies before it, its weight, and its text's hash if it has one only."""
-    for b, w, only in bins:
-        if done + w >= want:
-            return b, done, w, only
-        done += w
-    return bins[-1][0] + 1, done, 0, None
+def _medians(bins: DataFrame, splits: list[dict]) -> DataFrame:
+    """node, cut, done, weight, only: of each node to split the bin in which its weight reaches what is wanted on the left,
+    what lies before it, its weight, and its text's hash if it has one only; behind the last bin if none reaches it.
+
+    Bins are summed up where they are: a node has at most BINS of them, and one row of each comes out.
+    """
+    wanted = bins.sparkSession.createDataFrame([(s["node"], float(s["want"]), float(s["done"])) for s in splits], "node int, want double, sofar double")
+    upto = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = bins.join(F.broadcast(wanted), "node").withColumn("after", F.col("sofar") + F.sum("w").over(upto))
+    only = F.when(F.col("low") == F.col("high"), F.col("low"))
+    reached = F.when(F.col("after") >= F.col("want"), F.struct("bin", (F.col("after") - F.col("w")).alias("done"), "w", only.alias("only")))
+    found = summed.groupBy("node").agg(F.min(reached).alias("r"), F.struct((F.max("bin") + 1).alias("bin"), F.max("after").alias("done"), F.lit(0).cast("long").alias("w"), F.lit(None).cast("long").alias("only")).alias("none"))
+    return found.select("node", F.coalesce("r", "none").alias("r")).select("node", "r.*")
 
 
 def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None) -> DataFrame:
