@@ -14,6 +14,7 @@ from larkspur.operators.impact_index import ImpactIndex
 from larkspur.plans import sql as S
 from larkspur.plans import standins as I  # noqa: E741
 from larkspur.sources import readers, writers
+from larkspur.sources import records as record_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,6 +97,15 @@ def token_record_lookup(spark, d):
     return out.select("pid", "offset", F.col("n_tokens").cast("long").alias("n_tokens"), joined(F.col("token_ids")).alias("token_ids"))
 
 
+@query("record_files", """WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS pid, row_number() OVER (ORDER BY doc_id) - 1 AS "offset", list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: len(w)) AS ids FROM documents)
+SELECT pid, "offset", CAST(least(len(ids), 64) AS BIGINT) AS n_tokens, array_to_string(list_resize(ids[1:64], 64, 0), '|') AS token_ids FROM x""")
+def record_files(spark, d):
+    """All records written to binary files in the order of their documents, and read back with the offsets of their places."""
+    path = storage.scratch(spark, "records")
+    record_store.write(_records(spark, d, 64), path, order="offset")
+    return record_store.read(spark, path).select("offset", "pid", F.col("n_tokens").cast("long").alias("n_tokens"), joined(F.col("token_ids")).alias("token_ids"))
+
+
 def _records(spark, d, length):
     ids = F.transform(text.tokenize(F.col("text")), lambda w: F.length(w))
     rows = I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pid"), F.col("doc_id").alias("offset"), ids.alias("ids"))
