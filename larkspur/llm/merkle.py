@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table
+from larkspur.llm.common import let, read_table
 
 #: Parts that put together are the whole again: sections end with blank lines, paragraphs with a newline, chunks after a
 #: blank that follows one of these letters or marks, at the paragraph's end, or after 64 characters.
@@ -44,8 +44,8 @@ def tree(text: Column) -> Column:
     """
 
     def paragraph(p):
-        chunks = _parts(p, CHUNK)
-        return F.struct(_node("p", F.transform(chunks, digest)).alias("digest"), F.transform(chunks, _code).alias("chunks"))
+        node = lambda chunks: F.struct(_node("p", F.transform(chunks, digest)).alias("digest"), F.transform(chunks, _code).alias("chunks"))
+        return let(_parts(p, CHUNK), node)
 
     def section(s):
         return F.transform(_parts(s, PARAGRAPH), paragraph)
