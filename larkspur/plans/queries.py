@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur import schemas
 from larkspur.functions import outputs, prompts, text
-from larkspur.operators import dense, dialogue, evaluation, experiments, indexing, lexical, ports, pruned_dense, storage
+from larkspur.operators import dense, dialogue, embedding_job, evaluation, experiments, indexing, lexical, ports, pruned_dense, storage
 from larkspur.operators.impact_index import ImpactIndex
 from larkspur.plans import sql as S
 from larkspur.plans import standins as I  # noqa: E741
@@ -499,6 +499,17 @@ def embed_collection(spark, d):
     return out.select("pid", F.get("vector", F.lit(0)).cast("double").alias("first"), F.get("vector", F.lit(1)).cast("double").alias("second"))
 
 
+@query("embed_blocks", "SELECT CAST(doc_id AS VARCHAR) AS pid, CAST(len(text) AS DOUBLE) AS first, CAST(len(text) - len(replace(text, ' ', '')) AS DOUBLE) AS second FROM documents")
+def embed_blocks(spark, d):
+    """The collection by an embedding job that is run twice: the second finds every block done."""
+    path = storage.scratch(spark, "embedding")
+    for _ in range(2):
+        embedding_job.embed(I.passages(spark, d), path, _length_encoder, "lengths", blocks=32)
+    out = embedding_job.vectors(spark, path)
+    return out.select("pid", *[F.get("vector", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("first", "second"))])
+
+
+
 # --- collection preparation and checks ---
 
 

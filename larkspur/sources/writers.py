@@ -60,9 +60,9 @@ def upsert(registry: DataFrame, new: DataFrame, key: str = "filename") -> DataFr
 
 def next_run(runs: DataFrame) -> DataFrame:
     """base, next_run: the first free number, from 1, of each base name."""
-    taken = runs.groupBy("base").agg(F.array_distinct(F.collect_list("run")).alias("taken"))
-    free = F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), "taken")
-    return taken.select("base", F.get(free, F.lit(0)).alias("next_run"))
+    taken = runs.select("base", F.col("run").cast("int").alias("run")).filter("run >= 1")
+    could = taken.select("base", (F.col("run") + 1).alias("run")).union(runs.select("base", F.lit(1).alias("run")))
+    return could.join(taken, ["base", "run"], "left_anti").groupBy("base").agg(F.min("run").alias("next_run"))
 
 
 def complete_runs(runs: DataFrame, needed: int) -> DataFrame:
