@@ -82,5 +82,5 @@ def test_sql(spark, sf_dir, name):
 
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in entry.queries()
