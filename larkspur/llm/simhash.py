@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import boxed, materialise, read_table, small_batches, unboxed
@@ -95,25 +95,27 @@ def links(fps: DataFrame, distance: int = 4, pieces: int | None = None) -> DataF
         first = first | here
     same_key = (F.col("l.place") == F.col("r.place")) & (F.col("l.rest") == F.col("r.rest"))
     # one table under two names, so that both sides read one exchange
-    return index.alias("l").join(index.alias("r"), same_key & (a < b) & (F.bit_count(differ) <= distance) & first).select(a.alias("a"), b.alias("b"))
+    return index.alias("l").join(index.alias("r").hint("merge"), same_key & (a < b) & (F.bit_count(differ) <= distance) & first).select(a.alias("a"), b.alias("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """vertex, root: for every vertex of the edges (a, b: long) the smallest of its component.
 
     Alternates large-star and small-star steps; each round ends in the shared folder. Minima are pre-aggregated before
-    the shuffle and joined back, so no vertex's neighbours are ever gathered in one place.
+    the shuffle and joined back, so no vertex's neighbours are ever gathered in one place. Joins are by shuffle, as each
+    round's broadcasts would stay with the driver; what tells two rounds apart is counted while a round is written.
     """
     now, mark = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
+        hung = large.join(least.hint("merge"), "u")
         small = hung.select("u", F.col("m").alias("v")).union(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = materialise(small, "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        told = Observation()
+        now = materialise(small.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        seen = told.get
         if seen == mark:
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         mark = seen
@@ -124,9 +126,9 @@ def _grouped(marked: DataFrame, distance: int) -> DataFrame:
     """fp, root, component_id of every fingerprint of `marked` (doc_id, fp): its component and the smallest doc_id there."""
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     pairs = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(pairs.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(pairs.withColumnRenamed("vertex", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return rooted.join(smallest.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -136,7 +138,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     doc_ids never are the smallest unless a component has no other, which then is null. Empty tables give no rows.
     """
     marked = materialise(fingerprints(docs, words, seed), "fingerprints")
-    return marked.join(_grouped(marked, distance), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_grouped(marked, distance).hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -149,8 +151,8 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4, seed: int =
     known = rows.filter("doc_id is not null")
     named = known.select(F.struct("doc_id", "_tie").alias("doc_id"), "text")
     marked = materialise(fingerprints(named, words, seed), "fingerprints")
-    kept = marked.join(_grouped(marked, distance), "fp").groupBy("root").agg(F.min("doc_id").alias("kept")).select("kept.*")
-    once = known.join(kept, ["doc_id", "_tie"], "left_semi").dropDuplicates(["doc_id", "_tie"])
+    kept = marked.join(_grouped(marked, distance).hint("merge"), "fp").groupBy("root").agg(F.min("doc_id").alias("kept")).select("kept.*")
+    once = known.join(kept.hint("merge"), ["doc_id", "_tie"], "left_semi").dropDuplicates(["doc_id", "_tie"])
     return unboxed(once.unionByName(rows.filter("doc_id is null")), docs.columns)
 
 

@@ -80,3 +80,13 @@ def test_an_id_that_comes_again_with_another_text(spark):
     assert rows(make((1, a), (1, b), (1, a), (2, b))) == [(1, a), (1, b)]
     assert rows(make((2, a), (2, a), (2, a + " "), (3, a))) in ([(2, a)], [(2, a + " ")])
     assert len(simhash.one_of_each(make((None, a), (None, a), (5, a))).collect()) == 3
+
+
+def test_nothing_is_broadcast(spark, documents, monkeypatch):
+    """Tables that grow with the documents never go through the driver, however small they look."""
+    plans, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: plans.append(df) or write(df, label))
+    plans += [simhash.near_duplicates(documents), simhash.one_of_each(documents)]
+    for df in plans:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
