@@ -11,57 +11,146 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
+
+from larkspur.operators import storage
 
 BLOCK = 4096
+#: Rows that are multiplied at once, queries of one group, least number of groups.
+ROWS, QUERIES, GROUPS = 1024, 1024, 32
+#: Scores are rounded to six places, so what is this much below the k-th best cannot be among them.
+CLOSE = 2e-6
+HITS = "qid string, pid string, score double, block int"
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def _packed(rows: DataFrame, key: str, block: int, name: str, part: Column | None = None) -> tuple[DataFrame, int]:
-    """Rows (key, vector) in blocks inside each part: arrays of keys and one binary matrix of doubles; blocks a part."""
-    blocks = max(1, -(-rows.count() // block))
+def packed(rows: DataFrame, key: str, part: Column, *more: str) -> DataFrame:
+    """Rows (key, vector) as part, keys, x (and lists of `more` columns of doubles): rows that stand together in a scan.
+
+    Nothing is dealt for it, so copies of one vector are no one task's. Single floats stay such on the way.
+    """
+    single = isinstance(rows.schema["vector"].dataType.elementType, FloatType)
+    kind, wire = ("float", "<f4") if single else ("double", "<f8")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            for one in np.unique(parts):
+                some = batch.filter(pa.array(parts == one))
+                x = np.stack(some.column("vector").to_numpy(zero_copy_only=False)).astype(wire)
+                columns = [pa.array([one], pa.int32()), pa.array([some.column("key").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([some.column(c).to_pylist()], pa.list_(pa.float64())) for c in more], names=["part", "keys", "x", *more])
+
+    made = rows.select(F.col(key).cast("string").alias("key"), F.col("vector").cast(f"array<{kind}>").alias("vector"), part.cast("int").alias("part"), *more)
+    return made.mapInArrow(pack, ", ".join(["part int, keys array<string>, x binary", *[f"{c} array<double>" for c in more]])).withColumn("single", F.lit(single))
+
+
+def group_count(queries: DataFrame) -> int:
+    """Groups of queries: as few as GROUPS while they have QUERIES at most, so each passage is sent that often."""
+    n = queries.count()
+    return max(1, min(GROUPS, n), -(-n // QUERIES))
+
 
-    def pack(table: pa.Table) -> pa.Table:
-        x = np.stack(table.column("vector").to_numpy()).astype(np.float64)
-        return pa.table({"block": table.column("block").slice(0, 1), f"{name}_keys": pa.array([table.column(key).to_pylist()], pa.list_(pa.string())), f"{name}_x": pa.array([x.tobytes()], pa.binary())})
+def group_of(qid: str, groups: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(qid).cast("string")), F.lit(groups)).cast("int")
 
-    number = (F.lit(0) if part is None else part.cast("int")) * blocks + F.pmod(F.xxhash64("_vector"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("_vector", F.col("vector").cast("array<double>")).select(F.col(key).cast("string").alias(key), F.col("_vector").alias("vector"), number.alias("block"))
-    return dealt.groupBy("block").applyInArrow(pack, f"block int, {name}_keys array<string>, {name}_x binary"), blocks
+
+class Best:
+    """The k best passages of each query of a group, of all blocks met so far; ties go to the smaller pid.
+
+    Kept are k hits a query and, between two cuts, about as many again; a query's floor is its k-th best score.
+    """
+
+    def __init__(self, qids: list, q: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.qids, self.q, self.k = np.array(qids, object), q, k
+        self.norms = np.linalg.norm(q, axis=1)
+        self.floors = np.full(len(q), -np.inf) if floors is None else floors
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, 2 * k * len(q) + (1 << 16)
+
+    def meet(self, keys: list, x: np.ndarray, who: np.ndarray) -> None:
+        """Multiplies passages with the queries at the places `who`."""
+        pids = np.array([b"\xff" if p is None else p.encode() for p in keys])  # ordered as text is
+        for at in range(0, len(pids), ROWS):
+            scores = np.round(self.q[who] @ x[at : at + ROWS].T, 6)
+            i, j = np.nonzero(scores >= self.floors[who][:, None])
+            self.found.append((who[i], scores[i, j], pids[at + j]))
+            self.held += len(i)
+            if self.held > self.most:
+                self.cut()
+
+    def cut(self) -> None:
+        if self.found:
+            i, s, pids = map(np.concatenate, zip(*self.found))
+            order = np.lexsort((pids, -s, i))
+            i, s, pids = i[order], s[order], pids[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, np.arange(len(self.q)))[i]
+            self.floors[i[rank == self.k - 1]] = s[rank == self.k - 1]
+            self.found, self.held = [(i[rank < self.k], s[rank < self.k], pids[rank < self.k])], int((rank < self.k).sum())
+
+    def hits(self, part: int) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        for i, s, pids in self.found:
+            for at in range(0, len(i), 65_536):
+                cut = slice(at, at + 65_536)
+                names = [None if p == b"\xff" else p.decode() for p in pids[cut].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(self.qids[i[cut]].tolist(), pa.string()), pa.array(names, pa.string()), pa.array(s[cut]), pa.array([part] * len(names), pa.int32())], names=["qid", "pid", "score", "block"])
+
+
+def best_of(queries: DataFrame, passages: DataFrame, groups: int, parts: int, k: int) -> DataFrame:
+    """qid, pid, score, block: the k best of each group's queries in each part, from rows g, part, keys, x, single of both.
+
+    Passages may have centre and radius, queries floors: then a block meets only queries whose floor its bound reaches.
+    A task sees its queries first, then blocks one by one, and holds the best so far; so what it holds does not grow with
+    the passages, and what it gives is k rows a query.
+    """
+    storage.small_batches(queries.sparkSession)
+    form = ["g", "part", "keys", "x", "single", "floors", "centre", "radius"]
+    full = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), *[F.col(c) if c in rows.columns else F.lit(None).cast("double" if c == "radius" else "array<double>").alias(c) for c in form])
+    both = full(queries, 0).unionByName(full(passages, 1))
+    dealt = both.repartitionById(groups * parts, F.col("g") * parts + F.col("part")).sortWithinPartitions("g", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, best = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if now != (row["g"], row["part"]):
+                    if best:
+                        yield from best.hits(now[1])
+                    now, asked, best = (row["g"], row["part"]), [], None
+                x = np.frombuffer(row["x"], "<f4" if row["single"] else "<f8").reshape(len(row["keys"]), -1).astype(np.float64)
+                if row["kind"] == 0:
+                    asked.append((row["keys"], x, row["floors"]))
+                elif asked:
+                    if best is None:
+                        floors = None if asked[0][2] is None else np.concatenate([a[2] for a in asked])
+                        best = Best([q for a in asked for q in a[0]], np.concatenate([a[1] for a in asked]), k, floors)
+                    who = np.arange(len(best.q))
+                    if row["centre"] is not None:
+                        who = np.flatnonzero(best.q @ np.array(row["centre"]) + best.norms * row["radius"] >= best.floors - CLOSE)
+                    best.meet(row["keys"], x, who)
+        if best:
+            yield from best.hits(now[1])
+
+    return dealt.mapInArrow(run, HITS)
 
 
 def topk(passages: DataFrame, queries: DataFrame, k: int, parts: int = 1) -> DataFrame:
     """qid, pid, score (6 places), rank: for each query (qid, vector) the k passages (pid, vector) of largest inner product.
 
     With `parts`, passages say in `block` which part (from 0) they are of, and the k best of each part come, with block.
-    Both sides are packed into blocks of rows; every query block meets every passage block by an equality join on the
-    passage block's number, one matrix product and a partial top-k a pair, and the partial results are merged. No side is
+    Passages are packed into blocks of rows that are sent to each group of queries (`best_of`), by a shuffle; no side is
     broadcast or gathered. Ties go to the smaller pid (as text).
     """
-    p, blocks = _packed(passages, "pid", BLOCK, "p", F.col("block") if parts > 1 else None)
-    q, _ = _packed(queries, "qid", 512, "q")
-    meet = p.join(q.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks * parts - 1)))), "block")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                pids, qids = (np.array(batch.column(c)[i].as_py(), object) for c in ("p_keys", "q_keys"))
-                px, qx = (np.frombuffer(batch.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("p_x", pids), ("q_x", qids)))
-                scores = np.round(qx @ px.T, 6)
-                out: tuple[list, list, list] = ([], [], [])
-                part = batch.column("block")[i].as_py() // blocks
-                for qid, s in zip(qids, scores):
-                    least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    take = np.flatnonzero(s >= least)
-                    take = take[np.lexsort((pids[take].astype(str), -s[take]))][:k]
-                    out[0].extend([qid] * len(take))
-                    out[1].extend(pids[take])
-                    out[2].extend(s[take])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64()), pa.array([part] * len(out[0]), pa.int32())], names=["qid", "pid", "score", "block"])
-
-    hits = meet.select("p_keys", "p_x", "q_keys", "q_x", "block").mapInArrow(best, "qid string, pid string, score double, block int")
+    storage.small_batches(passages.sparkSession)
+    groups = group_count(queries)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = packed(passages, "pid", F.col("block") if parts > 1 else F.lit(0)).withColumn("g", each(groups))
+    q = packed(queries, "qid", group_of("qid", groups)).withColumnRenamed("part", "g").withColumn("part", each(parts))
+    hits = best_of(q, p, groups, parts, k)
     order = Window.partitionBy("qid", "block").orderBy(F.desc("score"), "pid")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked if parts > 1 else ranked.drop("block")
@@ -107,6 +196,7 @@ def encode(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]
         for batch in batches:
             yield pd.Series(list(np.asarray(model(batch.fillna("").tolist()), np.float32)))
 
+    storage.small_batches(rows.sparkSession)
     return rows.withColumn("vector", run.asNondeterministic()(text))
 
 

@@ -72,6 +72,15 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Bounds what one Arrow batch hands to a Python worker, in rows and bytes. Lower settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        value = int(now) if now and str(now).isdigit() else 0
+        if not 0 < value <= most:
+            spark.conf.set(key, str(most))
+
+
 class Manifest:
     """Numbered states of a folder, each one small JSON file that is never changed; the last one counts.
 

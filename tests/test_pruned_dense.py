@@ -48,3 +48,26 @@ def test_few_and_odd_rows(spark):
     queries = make("qid", ("q", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None))
     assert rows(pruned_dense.topk(passages, queries, 2)) == [("q", "b", 1.0, 1), ("q", "d", 1.0, 2), ("z", "a", 0.0, 1), ("z", "b", 0.0, 2)]
     assert pruned_dense.topk(passages.limit(0), queries, 2).count() == 0 and pruned_dense.topk(passages, queries.limit(0), 2).count() == 0
+
+
+def test_what_a_task_holds_is_bounded(spark):
+    """A group keeps k hits a query between cuts; copies of one vector and many blocks change nothing."""
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-3, 4, (5000, 8)).astype(float), rng.normal(size=(40, 8))
+    best = dense.Best([str(i) for i in range(40)], q, 7)
+    best.most = 1000
+    for at in range(0, 5000, 100):
+        best.meet([str(i) for i in range(at, at + 100)], x[at : at + 100], np.arange(40))
+        assert best.held <= 40 * 100 + 1000
+    got = [tuple(r.values()) for b in best.hits(0) for r in b.to_pylist()]
+    scores = np.round(q @ x.T, 6)
+    expected = [(str(i), str(j), scores[i, j], 0) for i in range(40) for j in sorted(range(5000), key=lambda j: (-scores[i, j], str(j)))[:7]]
+    assert got == expected
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_plain_search_broadcasts_nothing(spark, parts):
+    passages = I.vectors(spark, SMALL).withColumn("block", I.F.pmod("vec_id", I.F.lit(3)).cast("int"))
+    found = dense.topk(passages, I.vector_queries(spark, SMALL), 5, parts)
+    assert found.count() == 5 * parts * I.vector_queries(spark, SMALL).count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
