@@ -12,11 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import storage
-from larkspur.operators.dense import BLOCK
+from larkspur.operators.dense import BLOCK, CLOSE, best_of, group_count, group_of, packed
 
-#: Scores are rounded to six places, so what is this much below the k-th best cannot be among them.
-CLOSE = 2e-6
-QUERIES = 512
 HITS = "qid string, pid string, score double"
 
 
@@ -67,7 +64,7 @@ def _grouped(pairs: DataFrame, groups: int) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         return pa.table({"block": table.column("block").slice(0, 1), "qids": pa.array([table.column("qid").to_pylist()], pa.list_(pa.string())), "q": pa.array([_matrix(table.column("vector")).tobytes()], pa.binary())})
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(groups)))
+    salted = pairs.withColumn("salt", group_of("qid", groups))
     return salted.groupBy("block", "salt").applyInArrow(pack, "block string, qids array<string>, q binary")
 
 
@@ -88,12 +85,13 @@ def _best(found: DataFrame, pairs: DataFrame, groups: int, k: int) -> DataFrame:
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["qid", "pid", "score"])
 
-    return found.select("block", "pids", "x").join(_grouped(pairs, groups), "block").select("pids", "x", "qids", "q").mapInArrow(run, HITS)
+    return found.select("block", "pids", "x").join(_grouped(pairs, groups).hint("merge"), "block").select("pids", "x", "qids", "q").mapInArrow(run, HITS)
 
 
-def _bounded(found: DataFrame, queries: DataFrame, groups: int, least: int | None) -> DataFrame:
+def _bounded(found: DataFrame, queries: DataFrame, groups: int, least: int | None, grouped: bool = False) -> DataFrame:
     """Pairs (block, qid) by their bounds: with `least` each query's best blocks that hold so many rows (of each group of
-    blocks that meet), else all whose bound reaches the query's floor.
+    blocks that meet), else all whose bound reaches the query's floor; with `grouped` pairs (block, g) of a block and a
+    group that has such a query.
 
     Blocks' centres meet queries in groups by an equality join, so a bound costs what a row costs in a plain search.
     """
@@ -103,7 +101,7 @@ def _bounded(found: DataFrame, queries: DataFrame, groups: int, least: int | Non
         return pa.table({"g": table.column("g").slice(0, 1), "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.string())), "ns": pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())), "radii": pa.array([table.column("radius").to_pylist()], pa.list_(pa.float64())), "c": pa.array([_matrix(table.column("centre")).tobytes()], pa.binary())})
 
     def pack(table: pa.Table) -> pa.Table:
-        return pa.table({"qids": pa.array([table.column("qid").to_pylist()], pa.list_(pa.string())), "floors": pa.array([table.column("floor").to_pylist()], pa.list_(pa.float64())), "q": pa.array([_matrix(table.column("vector")).tobytes()], pa.binary())})
+        return pa.table({"salt": table.column("salt").slice(0, 1), "qids": pa.array([table.column("qid").to_pylist()], pa.list_(pa.string())), "floors": pa.array([table.column("floor").to_pylist()], pa.list_(pa.float64())), "q": pa.array([_matrix(table.column("vector")).tobytes()], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,37 +117,49 @@ def _bounded(found: DataFrame, queries: DataFrame, groups: int, least: int | Non
                     before = np.cumsum(ns[order], axis=1) - ns[order]
                     at, nth = np.nonzero(before < least)
                     to = order[at, nth]
-                yield pa.RecordBatch.from_arrays([pa.array(names[to], pa.string()), pa.array(qids[at], pa.string())], names=["block", "qid"])
+                if grouped:
+                    to = np.unique(to)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[to], pa.string()), pa.array([batch.column("salt")[i].as_py()] * len(to), pa.int32())], names=["block", "g"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(names[to], pa.string()), pa.array(qids[at], pa.string())], names=["block", "qid"])
 
     meta = found.select("block", "n", "centre", "radius").withColumn("g", F.pmod(F.xxhash64("block"), F.lit(tables)).cast("int"))
-    packed = meta.groupBy("g").applyInArrow(centres, "g int, blocks array<string>, ns array<long>, radii array<double>, c binary")
-    asked = queries.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(groups))).groupBy("salt").applyInArrow(pack, "qids array<string>, floors array<double>, q binary")
-    meet = packed.join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))), "g")
-    return meet.select("blocks", "ns", "radii", "c", "qids", "floors", "q").mapInArrow(run, "block string, qid string")
+    centred = meta.groupBy("g").applyInArrow(centres, "g int, blocks array<string>, ns array<long>, radii array<double>, c binary")
+    asked = queries.withColumn("salt", group_of("qid", groups)).groupBy("salt").applyInArrow(pack, "salt int, qids array<string>, floors array<double>, q binary")
+    meet = centred.join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).hint("merge"), "g")
+    pairs = meet.select("blocks", "ns", "radii", "c", "qids", "floors", "q", "salt").mapInArrow(run, "block string, g int" if grouped else "block string, qid string")
+    return pairs.distinct() if grouped else pairs
 
 
 def search(found: DataFrame, queries: DataFrame, k: int, report: dict | None = None) -> DataFrame:
     """qid, pid, score (6 places), rank: the same rows as `dense.topk`, from `blocks`.
 
-    First each query meets the blocks of best bounds that hold k rows; its k-th best score there is its floor. Then it
-    meets those further blocks whose bound reaches the floor; all others cannot hold one of its k best. Null query
-    vectors have no rows. `report` gets the number of all pairs of query and block, and of those multiplied.
+    First each query meets the blocks of best bounds that hold k rows; its k-th best score there is its floor. Then each
+    group of queries is sent those blocks whose bound reaches the floor of one of them, and there a block meets only the
+    queries whose floor, which rises on the way, it reaches (`dense.best_of`); all others cannot hold one of their k best.
+    Pairs of query and block are never rows, and hits that are shuffled are k a query. Null query vectors have no rows.
+    `report` gets the number of all pairs of query and block, and of those whose bound reaches the first floor or that
+    were met to find it.
     """
     spark, work = queries.sparkSession, storage.scratch(queries.sparkSession, "dense")
+    storage.small_batches(spark)
     asked = queries.filter("vector is not null").select(F.col("qid").cast("string").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
     asked = storage.kept(asked, f"{work}/queries")
-    groups = max(1, -(-asked.count() // QUERIES))
+    groups = group_count(asked)
     first = storage.kept(_bounded(found, asked.withColumn("floor", F.lit(0.0)), groups, k), f"{work}/first")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
     top = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    hits = storage.kept(_best(found, first.join(asked, "qid").select("block", "qid", "vector"), groups, k), f"{work}/hits/first")
-    floors = top(hits).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    rest = _bounded(found, asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), groups, None)
-    rest = storage.kept(rest.join(first, ["qid", "block"], "left_anti"), f"{work}/rest")
-    more = storage.kept(_best(found, rest.join(asked, "qid").select("block", "qid", "vector"), groups, k), f"{work}/hits/rest")
+    hits = _best(found, first.join(asked.hint("merge"), "qid").select("block", "qid", "vector"), groups, k)
+    floors = top(hits).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - CLOSE).otherwise(F.lit(float("-inf"))).alias("floor"))
+    floored = asked.join(floors.hint("merge"), "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    floored = storage.kept(floored, f"{work}/floored")
+    needed = _bounded(found, floored, groups, None, grouped=True)
+    sent = found.join(needed.hint("merge"), "block").select("g", F.lit(0).alias("part"), F.col("pids").alias("keys"), "x", F.lit(False).alias("single"), "centre", "radius")
+    own = packed(floored.withColumnRenamed("floor", "floors"), "qid", group_of("qid", groups), "floors").withColumnRenamed("part", "g").withColumn("part", F.lit(0))
     if report is not None:
-        report |= {"pairs": asked.count() * found.count(), "multiplied": first.count() + rest.count()}
-    return top(spark.read.schema(HITS).parquet(f"{work}/hits/first").unionByName(more))
+        reached = _bounded(found, floored, groups, None).union(first.select("block", "qid")).distinct()
+        report |= {"pairs": asked.count() * found.count(), "multiplied": reached.count()}
+    return top(best_of(own, sent, groups, 1, k).drop("block"))
 
 
 def topk(passages: DataFrame, queries: DataFrame, k: int, report: dict | None = None, **params) -> DataFrame:

@@ -71,3 +71,13 @@ def test_plain_search_broadcasts_nothing(spark, parts):
     found = dense.topk(passages, I.vector_queries(spark, SMALL), 5, parts)
     assert found.count() == 5 * parts * I.vector_queries(spark, SMALL).count()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_query_and_block_are_no_rows(spark, monkeypatch):
+    """What the search writes is a few rows a query, though no block can be left out."""
+    sizes, keep = {}, pruned_dense.storage.kept
+    monkeypatch.setattr(pruned_dense.storage, "kept", lambda df, path: sizes.setdefault(path.split("/")[-1], keep(df, path)))
+    passages, queries = I.vectors(spark, SMALL), I.vector_queries(spark, SMALL)
+    assert pruned_dense.topk(passages, queries, 5, block=8).count() == 5 * queries.count()
+    blocks = sizes["blocks"].count()
+    assert blocks > 40 and all(df.count() <= 6 * queries.count() for name, df in sizes.items() if not name.startswith("blocks"))
