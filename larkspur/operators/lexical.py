@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import token_count, tokenize, words
 
 K1, B = 0.82, 0.68
+#: Characters of text that one task counts; query terms that are broadcast at most.
+CHARACTERS, MOST_TERMS = 8 << 20, 1 << 20
 
 
 def build_queries(turns: DataFrame, kind: str, repeats: int = 1, c: float = 1.0) -> DataFrame:
@@ -38,6 +40,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def dealt(passages: DataFrame) -> DataFrame:
+    """pid, text, dealt by pid in parts of about CHARACTERS, whose number is fixed: small parts are not joined again.
+
+    What is then grouped by pid and more needs no further exchange, and no task counts more than about a part.
+    """
+    whole = passages.select("pid", F.col("text").cast("string").alias("text"))
+    size = whole.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    return whole.repartition(max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHARACTERS)), "pid")
+
+
 def _tokens(passages: DataFrame) -> DataFrame:
     """pid, dl, toks: each text is cut into tokens once, and its length is theirs."""
     return passages.select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.coalesce(F.size("toks"), F.lit(0)).alias("dl"), "toks")
@@ -46,11 +58,10 @@ def _tokens(passages: DataFrame) -> DataFrame:
 def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """pid, dl, term, tf; only of `terms` (term), if given: tokens are cut down to them before they are counted.
 
-    With `terms` the counts are what is shuffled; without, whole texts are dealt by pid first, as they are smaller than
-    their counts, which then need no further exchange.
+    Whole texts are dealt by pid first, as they are smaller than their counts, which then need no further exchange.
     """
     # an inner explode would be given a filter that tokenises every text twice more below the generator
-    rows = _tokens(passages if terms is not None else passages.repartition("pid")).select("pid", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
+    rows = _tokens(dealt(passages)).select("pid", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -64,23 +75,26 @@ def term_statistics(found: DataFrame) -> DataFrame:
 def search(passages: DataFrame, queries: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
     """qid, pid, score (6 places), rank: the k best passages of each query that share a term; ties by pid.
 
-    Only query terms are counted in passages; the query side is as small as the optimizer finds it. The last step keeps
-    k rows a query in each task before anything is shuffled by query. For more than one search build an index.
+    Only query terms are counted in passages. Texts are dealt by pid once; up to MOST_TERMS query terms are broadcast, so
+    that counts meet them and are summed up by (qid, pid) where they are, and k rows a query of each task are all that is
+    shuffled by query. More query terms are joined by a shuffle. For more than one search build an index.
     """
     wanted = query_terms(queries)
-    found = postings(passages, wanted.select("term").distinct())
+    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    sent = F.broadcast if few else lambda rows: rows
+    found = postings(passages, sent(wanted.select("term").distinct()))
     size = passages.select(token_count(F.col("text")).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    # said with tf, so that both uses of the counts are one plan and read one exchange
+    # said with tf, so that both uses of the counts are one plan and read one exchange of texts
     df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
-    return _ranked(found, wanted.join(df, "term"), size["n"], size["avgdl"], k, k1, b)
+    return _ranked(found, wanted.join(df, "term"), size["n"], size["avgdl"], k, k1, b, sent)
 
 
-def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float) -> DataFrame:
+def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float, sent=lambda rows: rows) -> DataFrame:
     """The k best of postings (pid, dl, term, tf) for query terms (qid, term, qtf, df) in n passages of average length."""
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.select("qid", "term", "qtf", idf.alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = found.join(weighted, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = found.join(sent(weighted), "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
