@@ -57,3 +57,12 @@ def test_null_rows_and_empty_table(spark, tmp_path):
     report = embedding_job.embed(odd, f"{path}2", counting(str(tmp_path)), "lengths", blocks=3)
     assert report["rows"] == 3
     assert sorted((str(r["pid"]), r["vector"][0]) for r in embedding_job.vectors(spark, f"{path}2").collect()) == [("None", 3.0), ("x", 0.0), ("y", 0.0)]
+
+
+def test_a_model_gets_small_batches(spark):
+    """Long texts reach the model a few at a time, so that a worker's memory does not follow the table."""
+    from larkspur.operators import dense
+
+    rows = spark.range(2000, numPartitions=1).selectExpr("id", "repeat('long text ', 2000) AS text")
+    sizes = dense.encode(rows, "text", lambda: lambda texts: np.full((len(texts), 1), sum(map(len, texts)), np.float32)).selectExpr("vector[0] AS n")
+    assert sizes.agg({"n": "max"}).first()[0] <= 8 << 20
