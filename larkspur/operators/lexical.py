@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import token_count, tokenize, words
+from larkspur.operators import storage
 
 K1, B = 0.82, 0.68
-#: Characters of text that one task counts; query terms that are broadcast at most.
-CHARACTERS, MOST_TERMS = 8 << 20, 1 << 20
+#: Characters of text that one task counts; query terms that are sent to all tasks at most; hits that a task may keep; sums it makes at once.
+CHARACTERS, MOST_TERMS, MOST_HITS, SUMS = 8 << 20, 1 << 20, 1 << 20, 1 << 22
 
 
 def build_queries(turns: DataFrame, kind: str, repeats: int = 1, c: float = 1.0) -> DataFrame:
@@ -60,8 +66,12 @@ def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
     Whole texts are dealt by pid first, as they are smaller than their counts, which then need no further exchange.
     """
+    return _counted(_tokens(dealt(passages)), terms)
+
+
+def _counted(tokens: DataFrame, terms: DataFrame | None) -> DataFrame:
     # an inner explode would be given a filter that tokenises every text twice more below the generator
-    rows = _tokens(dealt(passages)).select("pid", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
+    rows = tokens.select("pid", "dl", F.explode_outer("toks").alias("term")).filter("term is not null")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -75,26 +85,95 @@ def term_statistics(found: DataFrame) -> DataFrame:
 def search(passages: DataFrame, queries: DataFrame, k: int = 1000, k1: float = K1, b: float = B) -> DataFrame:
     """qid, pid, score (6 places), rank: the k best passages of each query that share a term; ties by pid.
 
-    Only query terms are counted in passages. Texts are dealt by pid once; up to MOST_TERMS query terms are broadcast, so
-    that counts meet them and are summed up by (qid, pid) where they are, and k rows a query of each task are all that is
-    shuffled by query. More query terms are joined by a shuffle. For more than one search build an index.
+    Only query terms are counted in passages. Up to MOST_TERMS query terms (and MOST_HITS results), texts are dealt by pid
+    once and counted once; counts are written to the shared folder, a row a passage, and scored from there in blocks, k rows
+    a query of each task being all that is shuffled by query. More are joined by a shuffle. For more than one search build
+    an index.
     """
     wanted = query_terms(queries)
-    few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    sent = F.broadcast if few else lambda rows: rows
-    found = postings(passages, sent(wanted.select("term").distinct()))
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS and wanted.select("qid").distinct().count() * k <= MOST_HITS:
+        return _search_few(passages, wanted, k, k1, b)
+    found = postings(passages, wanted.select("term").distinct())
     size = passages.select(token_count(F.col("text")).alias("dl")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     # said with tf, so that both uses of the counts are one plan and read one exchange of texts
     df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
-    return _ranked(found, wanted.join(df, "term"), size["n"], size["avgdl"], k, k1, b, sent)
+    return _ranked(found, wanted.join(df, "term"), size["n"], size["avgdl"], k, k1, b)
+
+
+def _search_few(passages: DataFrame, wanted: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """`search` for query terms (qid, term, qtf) that every task may hold."""
+    spark, sizes = passages.sparkSession, Observation()
+    tokens = _tokens(dealt(passages)).observe(sizes, F.count(F.lit(1)).alias("n"), F.count("toks").alias("texts"), F.sum("dl").alias("words"))
+    counts = _counted(tokens, F.broadcast(wanted.select("term").distinct()))
+    # the partitioning by pid holds for these groups too
+    held = storage.kept(counts.groupBy("pid").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("found")), storage.scratch(spark, "counts"))
+    n, mean = sizes.get["n"], (sizes.get["words"] or 0) / max(1, sizes.get["texts"])  # null texts have no length
+    df = held.select(F.explode(F.transform("found", lambda x: x["term"])).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = wanted.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("w")).toArrow().sort_by("term")
+    form = f"qid {wanted.schema['qid'].dataType.simpleString()}, pid {held.schema['pid'].dataType.simpleString()}, score double"
+    storage.small_batches(spark)
+    hits = held.mapInArrow(lambda batches: _best_hits(batches, asked, k, k1, b, mean), form)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
 
+def _best_hits(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, k1: float, b: float, mean: float) -> Iterator[pa.RecordBatch]:
+    """qid, pid, score: the k best of passages (pid, found: term, tf, dl) for each query of `asked` (qid, term, w; by term).
 
-def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float, sent=lambda rows: rows) -> DataFrame:
+    Held are k hits a query and, between two cuts, about as many again; a query's floor is its k-th best score so far.
+    """
+    qids, terms = asked["qid"].combine_chunks().dictionary_encode("encode"), asked["term"].combine_chunks().dictionary_encode()
+    of, weights, names = qids.indices.to_numpy(), asked["w"].to_numpy(), qids.dictionary
+    first = np.searchsorted(terms.indices.to_numpy(), np.arange(len(terms.dictionary) + 1))
+    floors, kept, more = np.full(len(names), -np.inf), [], 0
+
+    def cut(found: list) -> list:
+        q, s, pids = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), pa.chunked_array([f[2] for f in found]).combine_chunks()
+        order = np.lexsort((pc.rank(pids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(), -s, q))
+        q, s = q[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(names)))[q]
+        floors[q[rank == k - 1]] = s[rank == k - 1]
+        return [(q[rank < k], s[rank < k], pids.take(pa.array(order[rank < k])))]
+
+    for batch in batches:
+        lists = batch.column("found")
+        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        code = pc.index_in(flat.field("term"), terms.dictionary).to_numpy()
+        tf, dl = flat.field("tf").to_numpy(), flat.field("dl").to_numpy()
+        share = tf / (tf + k1 * (1 - b + b * dl / mean))
+        spans = first[code + 1] - first[code]
+        row, upto = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0)), np.cumsum(spans)
+        at = 0
+        while at < batch.num_rows:
+            a = ends[at - 1] if at else 0
+            # as many passages as make SUMS sums and SUMS products at most, but one
+            fit = np.searchsorted(upto[ends - 1], (upto[a - 1] if a else 0) + SUMS, "right")
+            to = max(at + 1, min(batch.num_rows, at + SUMS // max(1, len(names)), int(fit)))
+            z = slice(a, ends[to - 1])
+            n = spans[z]
+            place = np.arange(n.sum()) + np.repeat(first[code[z]] - (np.cumsum(n) - n), n)
+            key = np.repeat(row[z] - at, n) * len(names) + of[place]
+            sums = np.bincount(key, np.repeat(share[z], n) * weights[place], (to - at) * len(names)).reshape(to - at, -1)
+            scores = np.round(sums, 6)
+            i, q = np.nonzero((sums > 0) & (scores >= floors))
+            kept.append((q, scores[i, q], batch.column("pid").take(pa.array(at + i))))
+            at, more = to, more + len(i)
+            if more > k * len(names) + (1 << 16):
+                kept, more = cut(kept), 0
+    if kept:
+        for q, s, pids in cut(kept):
+            for at in range(0, len(q), 65_536):
+                z = slice(at, at + 65_536)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[z])), pids[z], pa.array(s[z])], names=["qid", "pid", "score"])
+
+
+def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float) -> DataFrame:
     """The k best of postings (pid, dl, term, tf) for query terms (qid, term, qtf, df) in n passages of average length."""
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.select("qid", "term", "qtf", idf.alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = found.join(sent(weighted), "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = found.join(weighted, "term").groupBy("qid", "pid").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

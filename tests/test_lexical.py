@@ -36,3 +36,27 @@ def test_only_k_rows_a_query_of_each_part_are_shuffled(spark, passages):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" in plan and not re.search(r"hashpartitioning\((qid#\w+, pid#|pid#\w+, qid#)", plan)
+
+
+def test_texts_are_cut_once_and_scored_in_blocks(spark, passages, monkeypatch):
+    """Counts are written once and scored without a row for each passage, term and query."""
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} w{i + 1} w7") for i in range(30)], "qid string, query string")
+    found = lexical.search(passages, asked, 6)
+    found.collect()
+    assert "regexp_" not in found._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, found.collect()))
+    for name, least in (("SUMS", 70), ("SUMS", 1)):  # other blocks, the same rows
+        monkeypatch.setattr(lexical, name, least)
+        assert sorted(map(tuple, lexical.search(passages, asked, 6).collect())) == few
+    monkeypatch.setattr(lexical, "MOST_HITS", 1)  # joined by a shuffle
+    assert sorted(map(tuple, lexical.search(passages, asked, 6).collect())) == few and len(few) == 180
+
+
+def test_odd_ids_and_copies(spark, monkeypatch):
+    """Ids of other types, null ids, repeated ids, ties by id, a query's terms that no passage has."""
+    passages = spark.createDataFrame([(2, "red fish"), (1, "fish red"), (None, "red fish"), (3, "red"), (3, "red red fish"), (3, "red"), (4, None), (5, "")], "pid long, text string")
+    asked = spark.createDataFrame([(7, "red fish nowhere"), (8, "fish"), (None, "red"), (9, "nowhere")], "qid int, query string")
+    rows = lambda k: sorted(map(str, lexical.search(passages, asked, k).collect()))
+    few = [rows(k) for k in (1, 2, 10)]
+    monkeypatch.setattr(lexical, "MOST_TERMS", 1)
+    assert few == [rows(k) for k in (1, 2, 10)] and [len(x) for x in few] == [3, 6, 12]
