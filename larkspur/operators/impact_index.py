@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import storage
+from larkspur.operators import lexical, storage
 from larkspur.operators.lexical import K1, B, _bucket, postings, query_terms
 
 BLOCKS = "term string, shard int, part int, max_tf long, min_dl int, pids array<string>, tfs array<long>, dls array<int>, segment string, level int, bucket int"
@@ -29,6 +32,49 @@ def _part(pid: Column, level: Column) -> Column:
     return F.pmod(F.shiftright(_hash(pid), 24), F.pow(F.lit(2.0), level).cast("long")).cast("int")
 
 
+class _Asked:
+    """Query terms (qid, term, w, to and more), by term, and what postings of levels below `to` add to the queries' sums."""
+
+    def __init__(self, rows: DataFrame, impact):
+        self.rows, self.impact = rows.toArrow().sort_by([("term", "ascending"), ("qid", "ascending")]).combine_chunks(), impact
+        column = lambda name: self.rows[name].combine_chunks()
+        qids, terms = column("qid").dictionary_encode("encode"), column("term").dictionary_encode()
+        self.of, self.names, self.terms = qids.indices.to_numpy(), qids.dictionary, terms.dictionary
+        self.first = np.searchsorted(terms.indices.to_numpy(), np.arange(len(self.terms) + 1))
+        self.value = {f.name: column(f.name).to_numpy() for f in self.rows.schema if f.name not in ("qid", "term")}
+
+    def meet(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """from, to, each pair's key (passage times queries plus query), place and sum, in blocks of passages."""
+        for at, to, row, post, place in lexical.meetings(batch, self.terms, self.first, len(self.names)):
+            read = post["level"] < self.value["to"][place]
+            place, c = place[read], self.impact(post["tf"][read], post["dl"][read]) * self.value["w"][place[read]]
+            yield at, to, row[read] * len(self.names) + self.of[place], place, c
+
+    def best_sums(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        """qid, s: the k largest sums of each query."""
+        best = np.zeros((0, len(self.names)))
+        for batch in batches:
+            for at, to, key, _, c in self.meet(batch):
+                best = np.concatenate([best, np.bincount(key, c, (to - at) * len(self.names)).reshape(to - at, -1)])
+                best = np.partition(best, -k, axis=0)[-k:] if len(best) > k else best
+        i, q = np.nonzero(best > 0)
+        yield pa.RecordBatch.from_arrays([self.names.take(pa.array(q)), pa.array(best[i, q])], names=["qid", "s"])
+
+    def candidates(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """qid, pid, s, had: passages whose sums s could still reach their query's floor, with the terms that have been met."""
+        width, v = len(self.names), self.value
+        floor, ceiling = np.zeros(width), np.zeros(width)
+        floor[self.of], ceiling[self.of] = v["floor"], v["ceiling"]
+        for batch in batches:
+            for at, to, key, place, c in self.meet(batch):
+                s, paid, met = (np.bincount(key, x, (to - at) * width) for x in (c, v["owed"][place], None))
+                good = (met > 0) & (s + np.tile(ceiling, to - at) - paid >= np.tile(floor, to - at) - CLOSE)
+                who, mine = np.flatnonzero(good), good[key]
+                order = np.argsort(key[mine], kind="stable")
+                had = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(met[who])]), pa.int32()), self.rows["term"].combine_chunks().take(pa.array(place[mine][order])))
+                yield pa.RecordBatch.from_arrays([self.names.take(pa.array(who % width)), batch.column("pid").take(pa.array(at + who // width)), pa.array(s[who]), had], names=["qid", "pid", "s", "had"])
+
+
 class ImpactIndex:
     """An index in a folder: immutable segments, one for each delivery or merge, and a manifest of those that count.
 
@@ -124,12 +170,22 @@ class ImpactIndex:
         floor under its k-th best score, and the bounds of its terms' further levels make a ceiling over all passages not
         met yet; once that is below the floor (by `slack`, as nearly as much would leave many to be completed), the query
         needs no new passages. Of those met, the ones that could still reach the floor get their missing terms from the
-        blocks that these passages would be in; no other block is read. What is between rounds is written to the shared
-        folder; only counts come to the driver.
+        blocks that these passages would be in; no other block is read. A block is read once and its postings are written to
+        the shared folder; they are dealt by passage and summed up for all queries in blocks, so no row is made for each
+        passage, query and term. Query terms come to the driver and go to all tasks: at most lexical.MOST_TERMS of them (and
+        MOST_HITS results) at a time, more are searched for in groups of queries.
 
         `report` gets the blocks that hold the queries' terms and those read, the same by query (pairs, scored), and the
         rounds.
         """
+        size = query_terms(queries).agg(F.count(F.lit(1)), F.count_distinct("qid")).first()
+        groups = max(-(-size[0] // lexical.MOST_TERMS), min(size[1], -(-size[1] * k // lexical.MOST_HITS)), 1)
+        if groups > 1 and report is None:
+            of = lambda i: queries.filter(F.pmod(F.xxhash64(F.col("qid").cast("string")), F.lit(2 * groups)) == i)
+            return functools.reduce(DataFrame.union, [self._search(of(i), k, k1, b, None, step, slack) for i in range(2 * groups)])
+        return self._search(queries, k, k1, b, report, step, slack)
+
+    def _search(self, queries: DataFrame, k: int, k1: float, b: float, report: dict | None, step: float, slack: float) -> DataFrame:
         segments = self.segments()
         n, words = sum(s["n"] for s in segments), sum(s["words"] for s in segments)
         mean = max(words / n, 1e-9) if n else 1.0
@@ -149,27 +205,30 @@ class ImpactIndex:
         beyond = F.transform(F.sequence(F.lit(0), F.lit(last + 1)), lambda at: F.coalesce(F.array_max(F.transform(F.filter("found", lambda x: x["level"] >= at), lambda x: x["bound"])), F.lit(0.0)))
         weights = all_weights = storage.kept(weights.join(each.select("term", beyond.alias("beyond")), "term"), f"{work}/bounds")
 
-        def added(read: DataFrame, of: DataFrame) -> DataFrame:
-            """qid, pid, term, c: what postings of blocks add to the scores of the queries in `of` (qid, bucket, term, level, w)."""
-            p = F.explode(F.arrays_zip("pids", "tfs", "dls")).alias("p")
-            return read.select("bucket", "term", "level", p).join(of, ["bucket", "term", "level"]).select("qid", F.col("p.pids").alias("pid"), "term", (F.col("w") * impact(F.col("p.tfs"), F.col("p.dls"))).alias("c"))
-
         # a term's levels that can add at least `tau` to a score
         upto = F.size(F.filter("beyond", lambda x: F.col("w") * x >= F.col("tau")))
         most = weights.groupBy("qid").agg(F.max(F.col("w") * F.get("beyond", F.lit(0))).alias("most"))
         open_ = most.select("qid", (F.col("most") * step).alias("tau"))
         weights = weights.withColumn("from", F.lit(0))
         keys = ["segment", "level", "bucket", "term", "shard", "part"]
-        form = "qid string, pid string, term string, c double"
-        hits, ended, rounds = self.spark.createDataFrame([], form), [], 0
+        form = "pid string, term string, level int, tf long, dl int"
+        ended, rounds = [], 0
+        storage.small_batches(self.spark)
         while last >= 0:
             now = storage.kept(weights.join(open_, "qid").withColumn("to", upto), f"{work}/now/round={rounds}")
             spans = now.filter(F.col("to") > F.col("from")).withColumn("level", F.explode(F.sequence("from", F.col("to") - 1)))
             pairs = storage.kept(meta.join(spans.select("qid", "bucket", "term", "w", "level"), ["bucket", "term", "level"]), f"{work}/pairs/round={rounds}")
-            added(blocks.join(pairs.select(*keys).distinct(), keys, "left_semi"), spans).write.parquet(f"{work}/hits/round={rounds}")
+            now_read = pairs.select(*keys).distinct()
+            if rounds:  # for other queries before
+                now_read = now_read.join(self.spark.read.schema(pairs.schema).parquet(*[f"{work}/pairs/round={i}" for i in range(rounds)]).select(*keys), keys, "left_anti")
+            p = F.explode(F.arrays_zip("pids", "tfs", "dls")).alias("p")
+            found = blocks.join(now_read, keys, "left_semi").select("term", "level", p).select(F.col("p.pids").alias("pid"), "term", "level", F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+            found.write.parquet(f"{work}/postings/round={rounds}")
             rounds += 1
-            hits = self.spark.read.schema(form).parquet(*[f"{work}/hits/round={i}" for i in range(rounds)])
-            sums = hits.join(open_.select("qid"), "qid", "left_semi").groupBy("qid", "pid").agg(F.sum("c").alias("s"))
+            read = self.spark.read.schema(form).parquet(*[f"{work}/postings/round={i}" for i in range(rounds)])
+            read = read.groupBy("pid").agg(F.collect_list(F.struct("term", "level", "tf", "dl")).alias("found"))
+            asked = _Asked(now.select("qid", "term", "w", "to"), impact)
+            sums = read.mapInArrow(lambda batches, asked=asked: asked.best_sums(batches, k), "qid string, s double")
             top = sums.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s")))).filter(F.col("r") <= k)
             floor = top.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(F.lit(0.0)).alias("floor"))
             ceiling = now.groupBy("qid", "tau").agg(F.sum(F.col("w") * F.get("beyond", F.col("to"))).alias("ceiling"))
@@ -181,22 +240,21 @@ class ImpactIndex:
             if open_.isEmpty():
                 break
         if not rounds:
-            return hits.select("qid", "pid", F.col("c").alias("score"), F.lit(1).alias("rank"))
+            return self.spark.createDataFrame([], "qid string, pid string, score double, rank int")
         done = functools.reduce(DataFrame.union, ended).select("qid", "tau", "floor", "ceiling")
         # passages that could still be among the best: what they lack is bounded by their query's unread levels
         terms = all_weights.join(done, "qid").withColumn("next", upto).withColumn("owed", F.col("w") * F.get("beyond", F.col("next")))
         terms = storage.kept(terms.select("qid", "bucket", "term", "w", "next", "owed", "floor", "ceiling"), f"{work}/terms")
-        met = hits.join(terms.select("qid", "term", "owed", "floor", "ceiling"), ["qid", "term"])
-        sums = met.groupBy("qid", "pid", "floor", "ceiling").agg(F.sum("c").alias("s"), F.sum("owed").alias("paid"))
-        candidates = storage.kept(sums.filter(F.col("s") + F.col("ceiling") - F.col("paid") >= F.col("floor") - CLOSE).select("qid", "pid"), f"{work}/candidates")
-        lacking = candidates.join(terms.filter("owed > 0").select("qid", "bucket", "term", "w", "next"), "qid").join(hits.select("qid", "pid", "term"), ["qid", "pid", "term"], "left_anti")
+        asked = _Asked(terms.select("qid", "term", "w", F.col("next").alias("to"), "owed", "floor", "ceiling"), impact)
+        candidates = storage.kept(read.mapInArrow(lambda batches: asked.candidates(batches), "qid string, pid string, s double, had array<string>"), f"{work}/candidates")
+        lacking = candidates.join(terms.filter("owed > 0").select("qid", "bucket", "term", "w", "next"), "qid").filter(~F.array_contains("had", F.col("term"))).select("qid", "pid", "bucket", "term", "w", "next")
         spots = lacking.join(stats.select("segment", "bucket", "term", "shards"), ["bucket", "term"]).withColumn("level", F.explode(F.sequence("next", F.greatest("next", F.lit(last)))))
         spots = spots.withColumn("shard", _shard(F.col("pid"), F.col("shards"))).withColumn("part", _part(F.col("pid"), F.col("level")))
         needed = storage.kept(meta.join(spots.select("qid", *keys).distinct(), keys).select("qid", *keys), f"{work}/needed")
         # a posting belongs to what a candidate lacks, or it is of no use
         late = blocks.join(needed.select(*keys).distinct(), keys, "left_semi").select("term", F.explode(F.arrays_zip("pids", "tfs", "dls")).alias("p"))
         late = late.select("term", F.col("p.pids").alias("pid"), impact(F.col("p.tfs"), F.col("p.dls")).alias("i")).join(lacking.select("qid", "pid", "term", "w"), ["pid", "term"])
-        parts = hits.join(candidates, ["qid", "pid"], "left_semi").select("qid", "pid", "c").union(late.select("qid", "pid", F.col("w") * F.col("i")))
+        parts = candidates.select("qid", "pid", F.col("s").alias("c")).union(late.select("qid", "pid", F.col("w") * F.col("i")))
         if report is not None:
             met = self.spark.read.schema(pairs.schema).parquet(*[f"{work}/pairs/round={i}" for i in range(rounds)]).select("qid", *keys)
             both = met.union(needed)

@@ -137,28 +137,14 @@ def _best_hits(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, k1: f
         return [(q[rank < k], s[rank < k], pids.take(pa.array(order[rank < k])))]
 
     for batch in batches:
-        lists = batch.column("found")
-        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy())
-        code = pc.index_in(flat.field("term"), terms.dictionary).to_numpy()
-        tf, dl = flat.field("tf").to_numpy(), flat.field("dl").to_numpy()
-        share = tf / (tf + k1 * (1 - b + b * dl / mean))
-        spans = first[code + 1] - first[code]
-        row, upto = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0)), np.cumsum(spans)
-        at = 0
-        while at < batch.num_rows:
-            a = ends[at - 1] if at else 0
-            # as many passages as make SUMS sums and SUMS products at most, but one
-            fit = np.searchsorted(upto[ends - 1], (upto[a - 1] if a else 0) + SUMS, "right")
-            to = max(at + 1, min(batch.num_rows, at + SUMS // max(1, len(names)), int(fit)))
-            z = slice(a, ends[to - 1])
-            n = spans[z]
-            place = np.arange(n.sum()) + np.repeat(first[code[z]] - (np.cumsum(n) - n), n)
-            key = np.repeat(row[z] - at, n) * len(names) + of[place]
-            sums = np.bincount(key, np.repeat(share[z], n) * weights[place], (to - at) * len(names)).reshape(to - at, -1)
+        for at, to, row, post, place in meetings(batch, terms.dictionary, first, len(names)):
+            tf, dl = post["tf"], post["dl"]
+            part = tf / (tf + k1 * (1 - b + b * dl / mean)) * weights[place]
+            sums = np.bincount(row * len(names) + of[place], part, (to - at) * len(names)).reshape(to - at, -1)
             scores = np.round(sums, 6)
             i, q = np.nonzero((sums > 0) & (scores >= floors))
             kept.append((q, scores[i, q], batch.column("pid").take(pa.array(at + i))))
-            at, more = to, more + len(i)
+            more += len(i)
             if more > k * len(names) + (1 << 16):
                 kept, more = cut(kept), 0
     if kept:
@@ -168,6 +154,34 @@ def _best_hits(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, k1: f
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q[z])), pids[z], pa.array(s[z])], names=["qid", "pid", "score"])
 
 
+def meetings(batch: pa.RecordBatch, terms: pa.Array, first: np.ndarray, width: int) -> Iterator[tuple]:
+    """Postings of a batch of passages (found: a list of term and more) with what is asked for their terms, in blocks of about
+    SUMS pairs and SUMS sums (passages times `width`): from, to (passages), each pair's passage in the block, its posting's fields, its place among what is asked.
+
+    What is asked stands by term: that of the i-th of `terms` from first[i] to first[i + 1]. Other terms are left out.
+    """
+    lists = batch.column("found")
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    code = pc.fill_null(pc.index_in(flat.field("term"), terms), -1).to_numpy()
+    known = code >= 0
+    row, code = np.repeat(np.arange(batch.num_rows), sizes)[known], code[known]
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False)[known] for f in flat.type if f.name != "term"}
+    spans = first[code + 1] - first[code]
+    ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
+    upto = np.concatenate([[0], np.cumsum(spans)])
+    at = 0
+    while at < batch.num_rows:
+        a = ends[at - 1] if at else 0
+        fit = np.searchsorted(upto[ends], upto[a] + SUMS, "right")
+        to = max(at + 1, min(batch.num_rows, at + SUMS // max(1, width), int(fit)))
+        z = np.arange(a, ends[to - 1])
+        n = spans[z]
+        if n.sum():
+            place, each = np.arange(n.sum()) + np.repeat(first[code[z]] - (np.cumsum(n) - n), n), np.repeat(z, n)
+            yield at, to, row[each] - at, {name: x[each] for name, x in fields.items()}, place
+        at = to
+
+
 def _ranked(found: DataFrame, wanted: DataFrame, n: Column, avgdl: Column, k: int, k1: float, b: float) -> DataFrame:
     """The k best of postings (pid, dl, term, tf) for query terms (qid, term, qtf, df) in n passages of average length."""
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

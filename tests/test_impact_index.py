@@ -101,3 +101,12 @@ def test_empty_indexes_and_queries(spark, tmp_path):
     index.add(spark.createDataFrame([("a", "red red"), ("b", "red"), ("c", "blue")], "pid string, text string"))
     assert [(r[0], r[1]) for r in rows(index.search(asked))] == [("q", "a"), ("q", "b")]
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_no_row_for_each_passage_query_and_term(spark, index, questions, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch", lambda session, label: f"file://{tmp_path}/{label}")
+    index.search(questions, 5).count()
+    terms = lexical.query_terms(questions).select("term").distinct()
+    held = index._blocks(index.segments()).join(terms, "term", "left_semi").agg(F.sum(F.size("pids"))).first()[0]
+    written = sum(spark.read.parquet(f"file://{p}").count() for p in (tmp_path / "search").iterdir() if p.name in ("hits", "postings"))
+    assert 0 < written <= held
