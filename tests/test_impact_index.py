@@ -110,3 +110,10 @@ def test_no_row_for_each_passage_query_and_term(spark, index, questions, tmp_pat
     held = index._blocks(index.segments()).join(terms, "term", "left_semi").agg(F.sum(F.size("pids"))).first()[0]
     written = sum(spark.read.parquet(f"file://{p}").count() for p in (tmp_path / "search").iterdir() if p.name in ("hits", "postings"))
     assert 0 < written <= held
+
+
+def test_many_queries_go_in_groups(index, passages, questions, monkeypatch):
+    few = questions.limit(2)
+    whole = rows(lexical.search(passages, few, 10))
+    monkeypatch.setattr(lexical, "MOST_HITS", 10)
+    assert rows(index.search(few, 10)) == whole and len(whole) == 20
