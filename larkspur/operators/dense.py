@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from larkspur.operators import storage
+from larkspur.operators.encoder import encoded
 
 BLOCK = 4096
 #: Rows that are multiplied at once, queries of one group, least number of groups.
@@ -188,16 +188,19 @@ def masked_mean(tokens: Column, mask: Column) -> Column:
 
 
 def encode(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
-    """`rows` with vector: `encoder` makes the model once a worker, which is then called with batches of texts."""
+    """`rows` with vector: `encoder` makes the model once a worker, which is then called with pieces of Arrow batches.
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A worker holds one batch and, of it, one piece as Python's strings; both have bounds, so the table's size does not matter.
+    """
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder()
         for batch in batches:
-            yield pd.Series(list(np.asarray(model(batch.fillna("").tolist()), np.float32)))
+            yield from encoded(model, batch)
 
     storage.small_batches(rows.sparkSession)
-    return rows.withColumn("vector", run.asNondeterministic()(text))
+    return rows.withColumn("vector", run.asNondeterministic()(F.col(text).cast("string")))
 
 
 def query_texts(turns: DataFrame, split: bool = False) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Texts that a model gets at once, and bytes of them.
+TEXTS, BYTES = 512, 4 << 20
 Tokenizer = Callable[[list[str]], list[list[int]]]
 Backbone = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -74,3 +78,26 @@ def text_encoder(parts: Callable[[], tuple[Tokenizer, Backbone, Head]], most: in
         return encode
 
     return make
+
+
+def pieces(texts: pa.Array, most: int = TEXTS, size: int = BYTES) -> Iterator[list[str]]:
+    """The texts in order (null: empty), `most` and `size` bytes at a time at most; a longer text stands alone.
+
+    Only a piece is made into Python's strings, however many texts stand in the Arrow batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(at + most, max(at + 1, fits))
+        yield [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
+def encoded(model: Callable[[list[str]], np.ndarray], texts: pa.Array, most: int = TEXTS) -> Iterator[pa.Array]:
+    """The model's vectors of the texts, as lists of single floats, a piece at a time."""
+    for some in pieces(texts, most):
+        x = np.asarray(model(some), np.float32)
+        if x.ndim != 2 or len(x) != len(some):
+            raise ValueError(f"not one vector a text: {x.shape} for {len(some)} texts")
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))

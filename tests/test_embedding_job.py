@@ -66,3 +66,53 @@ def test_a_model_gets_small_batches(spark):
     rows = spark.range(2000, numPartitions=1).selectExpr("id", "repeat('long text ', 2000) AS text")
     sizes = dense.encode(rows, "text", lambda: lambda texts: np.full((len(texts), 1), sum(map(len, texts)), np.float32)).selectExpr("vector[0] AS n")
     assert sizes.agg({"n": "max"}).first()[0] <= 8 << 20
+
+
+def test_a_model_gets_small_pieces_of_large_batches(spark):
+    """What the model gets has bounds of its own, also if the Arrow batches are large after all."""
+    from larkspur.operators import dense
+
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "if(id % 10 = 0, null, repeat('x', int(id % 7) * 1000)) AS text")
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    made = dense.encode(rows, "text", lambda: lambda texts: np.array([[len(t), len(texts), sum(map(len, texts))] for t in texts], np.float32))
+    was = [spark.conf.get(k) for k in keys]
+    try:
+        for key, most in zip(keys, (10_000, 256 << 20)):
+            spark.conf.set(key, most)
+        got = [(r["id"], *r["vector"]) for r in made.collect()]
+    finally:
+        for key, value in zip(keys, was):
+            spark.conf.set(key, value)
+    assert [(i, n) for i, n, _, _ in got] == [(i, 0 if i % 10 == 0 else i % 7 * 1000) for i in range(3000)]
+    assert max(g[2] for g in got) <= 512 and max(g[3] for g in got) <= 4 << 20
+
+
+def test_a_job_holds_no_whole_block(spark, tmp_path):
+    """Texts reach the model by bytes too, vectors are written as they come."""
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/job"
+    rows = spark.range(900, numPartitions=2).selectExpr("CAST(id AS string) AS pid", "repeat('long text ', if(id < 100, 20000, 1)) AS text")
+    encoder = lambda: lambda texts: np.full((len(texts), 16_384), sum(map(len, texts)), np.float32)
+    assert embedding_job.embed(rows, path, encoder, "wide", blocks=1)["rows"] == 900
+    assert [n for n in os.listdir(f"{tmp_path}/job/vectors") if n.endswith(".parquet")] == ["block-000000.parquet"]
+    assert pq.ParquetFile(f"{tmp_path}/job/vectors/block-000000.parquet").num_row_groups > 1
+    got = embedding_job.vectors(spark, path).selectExpr("pid", "size(vector) AS n", "vector[0] AS most").collect()
+    assert sorted(int(r["pid"]) for r in got) == list(range(900)) and {r["n"] for r in got} == {16_384}
+    assert max(r["most"] for r in got) <= 4 << 20
+
+
+def test_pieces_and_their_vectors():
+    import pyarrow as pa
+
+    from larkspur.operators.encoder import encoded, pieces
+
+    texts = ["aa", None, "", "\u00e9" * 6, "b", "c" * 5, "d"]
+    for array in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["zz", *texts, "z"]).slice(1, 7)):
+        assert list(pieces(array, 3, 6)) == [["aa", "", ""], ["\u00e9" * 6], ["b", "c" * 5], ["d"]]
+        x = list(encoded(lambda some: np.array([[len(t), 1] for t in some]), array, 3))
+        assert [v for a in x for v in a.to_pylist()] == [[float(len(t or "")), 1.0] for t in texts]
+    assert list(pieces(pa.array([], pa.string()))) == []
+    for wrong in ((3, 2), (7,), (7, 2, 2)):
+        with pytest.raises(ValueError, match="one vector a text"):
+            list(encoded(lambda some, shape=wrong: np.zeros(shape), pa.array(texts)))
