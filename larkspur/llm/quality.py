@@ -15,6 +15,8 @@ from larkspur.llm.common import boxed, hash_bits, read_table, small_batches, unb
 
 #: Hashed byte trigrams, then three terms of repetition.
 TERMS, EXTRA = 4096, 3
+#: Rows of a term matrix that are weighted at once.
+BLOCK = 256
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -46,16 +48,25 @@ class Voters:
     keys: np.ndarray  # hashes of the voters' texts
 
     @staticmethod
-    def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        z = np.log1p(counts[:, :TERMS]) * idf
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        return np.concatenate([z, counts[:, TERMS:]], 1)
+    def weigh(counts: np.ndarray, idf: np.ndarray, own: bool = False) -> np.ndarray:
+        """Rows of `counts` weighted and of length 1; with `own` they are changed where they stand, a block at a time."""
+        z = counts if own else counts.copy()
+        for at in range(0, len(z), BLOCK):
+            part = z[at : at + BLOCK, :TERMS]
+            np.log1p(part, out=part)
+            part *= idf
+            part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+        return z
 
     @classmethod
-    def fit(cls, counts: np.ndarray, labels: np.ndarray, keys: np.ndarray, axes: int = 64, neighbours: int = 15, power: float = 8.0, rounds: int = 6, seed: int = 3) -> Voters:
-        """Truncated singular vectors of the weighted term matrix, by subspace iteration."""
-        idf = (np.log((len(counts) + 1) / ((counts[:, :TERMS] > 0).sum(0) + 1)) + 0.1).astype(np.float32)
-        z = cls.weigh(counts, idf)
+    def fit(cls, counts: np.ndarray, labels: np.ndarray, keys: np.ndarray, axes: int = 64, neighbours: int = 15, power: float = 8.0, rounds: int = 6, seed: int = 3, own: bool = False) -> Voters:
+        """Truncated singular vectors of the weighted term matrix, by subspace iteration.
+
+        The matrix is the only large thing here; with `own` it is made of `counts` itself, which then are no more.
+        """
+        seen = sum(((counts[at : at + BLOCK, :TERMS] > 0).sum(0) for at in range(0, len(counts), BLOCK)), np.zeros(TERMS, np.int64))
+        idf = (np.log((len(counts) + 1) / (seen + 1)) + 0.1).astype(np.float32)
+        z = cls.weigh(counts, idf, own)
         basis = np.random.default_rng(seed).standard_normal((z.shape[1], min(axes, *z.shape) if len(z) else 1)).astype(np.float32)
         for _ in range(rounds):
             basis = np.linalg.qr(z.T @ (z @ basis))[0] if len(z) else basis
@@ -112,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, **params) -> Vot
     counts = np.zeros((len(got), TERMS + EXTRA), np.float32)
     for row, r in zip(counts, got):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], np.float32)
-    return Voters.fit(counts, np.array([r["quality"] for r in got]), np.array([r["key"] for r in got], np.int64).view(np.uint64), **params)
+    quality, keys = np.array([r["quality"] for r in got]), np.array([r["key"] for r in got], np.int64).view(np.uint64)
+    del got
+    return Voters.fit(counts, quality, keys, own=True, **params)
 
 
 def score(docs: DataFrame, voters: Voters) -> DataFrame:

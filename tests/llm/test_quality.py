@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -41,6 +42,30 @@ def test_labels_are_bounded_and_repeatable(spark, documents, sf_dir):
     assert len(a.labels) == 30 and np.allclose(a.vectors, b.vectors, atol=1e-5)
 
 
+def test_fitting_holds_one_term_matrix(spark, sf_dir):
+    """The driver needs little besides the matrix of the sample, which a copy of it or two would not leave room for."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        voters = quality.fit(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 1.75 * len(voters.labels) * (quality.TERMS + quality.EXTRA) * 4
+
+
+def test_counts_stay_unless_given_away():
+    counts = np.stack([quality.terms(f"text {i} of {i % 7} words " * 9) for i in range(600)])
+    was, labels, keys = counts.copy(), np.arange(600) % 2, np.arange(600, dtype=np.uint64)
+    kept = quality.Voters.fit(counts, labels, keys)
+    assert (counts == was).all()
+    given = quality.Voters.fit(counts, labels, keys, own=True)
+    assert (kept.vectors == given.vectors).all() and (kept.axes == given.axes).all() and (kept.idf == given.idf).all()
+    z = np.log1p(was[:, : quality.TERMS]) * kept.idf
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    assert (quality.Voters.weigh(was, kept.idf) == np.concatenate([z, was[:, quality.TERMS :]], 1)).all()
+
+
 def test_no_row_votes_for_itself(spark, documents):
     """With labels that say nothing, rows labelled 1 and 0 score alike."""
     labels = documents.select("doc_id", (F.xxhash64("doc_id", F.lit(5)) % 2 == 0).cast("int").alias("quality"))
